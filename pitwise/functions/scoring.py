@@ -246,51 +246,65 @@ MAX_GOALS = 10
 def score_grid(home_rate: Column, away_rate: Column, rho: Column) -> Column:
     """Home, draw and away probabilities from two goal rates and the low-score term.
 
-    The 11 x 11 grid stays inside one expression: two arrays of Poisson masses,
-    folded row by row, with the four low scores corrected and floored at zero,
-    and everything renormalised by the grid's own total.
+    Equal to summing the 11 x 11 grid of scores with its four low cells corrected
+    and floored at zero: the independent part needs only running sums along the
+    two Poisson masses, the correction only four cells. The masses are bound once
+    per row, so nothing is evaluated twice.
     """
     factorials = F.array(*[F.lit(math.lgamma(g + 1)) for g in range(MAX_GOALS + 1)])
     goals = F.sequence(F.lit(0), F.lit(MAX_GOALS))
 
     def mass(rate):
-        return F.transform(
-            goals, lambda g: F.exp(g * F.log(rate) - rate - F.element_at(factorials, g + 1))
-        )
+        log_rate = F.log(rate)
+        return F.zip_with(goals, factorials, lambda g, lf: F.exp(g * log_rate - rate - lf))
 
-    packed = F.struct(mass(home_rate).alias("h"), mass(away_rate).alias("a"))
-    h, a = packed["h"], packed["a"]
-
-    def cell(i, j):
-        plain = F.element_at(h, i + 1) * F.element_at(a, j + 1)
-        factor = (
-            F.when((i == 0) & (j == 0), 1.0 - home_rate * away_rate * rho)
-            .when((i == 0) & (j == 1), 1.0 + home_rate * rho)
-            .when((i == 1) & (j == 0), 1.0 + away_rate * rho)
-            .when((i == 1) & (j == 1), 1.0 - rho)
-            .otherwise(1.0)
+    bound = F.array(
+        F.struct(
+            F.arrays_zip(mass(home_rate).alias("h"), mass(away_rate).alias("a")).alias("m"),
+            home_rate.alias("lam"),
+            away_rate.alias("mu"),
+            rho.alias("rho"),
         )
-        return F.greatest(plain * factor, F.lit(0.0))
-
-    zero = F.struct(F.lit(0.0).alias("win"), F.lit(0.0).alias("draw"), F.lit(0.0).alias("all"))
-    total = F.aggregate(
-        goals,
-        zero,
-        lambda acc, i: F.aggregate(
-            goals,
-            acc,
-            lambda inner, j: F.struct(
-                (inner["win"] + F.when(i > j, cell(i, j)).otherwise(0.0)).alias("win"),
-                (inner["draw"] + F.when(i == j, cell(i, j)).otherwise(0.0)).alias("draw"),
-                (inner["all"] + cell(i, j)).alias("all"),
-            ),
-        ),
     )
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("below", "win", "draw", "total")])
+
+    def sums(masses):
+        return F.aggregate(
+            masses,
+            zero,
+            lambda acc, m: F.struct(
+                (acc["below"] + m["a"]).alias("below"),
+                (acc["win"] + m["h"] * acc["below"]).alias("win"),
+                (acc["draw"] + m["h"] * m["a"]).alias("draw"),
+                (acc["total"] + m["h"]).alias("total"),
+            ),
+        )
+
+    def moved(h, a, factor):
+        """What the correction adds to one cell."""
+        return F.greatest(h * a * factor, F.lit(0.0)) - h * a
+
+    def corrected(x):
+        s, m = x["s"], x["b"]["m"]
+        lam, mu, r = x["b"]["lam"], x["b"]["mu"], x["b"]["rho"]
+        h0, h1, a0, a1 = m[0]["h"], m[1]["h"], m[0]["a"], m[1]["a"]
+        d00 = moved(h0, a0, 1.0 - lam * mu * r)
+        d01 = moved(h0, a1, 1.0 + lam * r)
+        d10 = moved(h1, a0, 1.0 + mu * r)
+        d11 = moved(h1, a1, 1.0 - r)
+        return F.struct(
+            (s["win"] + d10).alias("win"),
+            (s["draw"] + d00 + d11).alias("draw"),
+            (s["total"] * s["below"] + d00 + d01 + d10 + d11).alias("total"),
+        )
+
+    summed = F.transform(bound, lambda b: F.struct(b.alias("b"), sums(b["m"]).alias("s")))
+    cells = F.transform(summed, corrected)
     return F.transform(
-        F.array(total),
-        lambda t: F.struct(
-            (t["win"] / t["all"]).alias("home"),
-            (t["draw"] / t["all"]).alias("draw"),
-            (1.0 - t["win"] / t["all"] - t["draw"] / t["all"]).alias("away"),
+        cells,
+        lambda c: F.struct(
+            (c["win"] / c["total"]).alias("home"),
+            (c["draw"] / c["total"]).alias("draw"),
+            (1.0 - c["win"] / c["total"] - c["draw"] / c["total"]).alias("away"),
         ),
     )[0]

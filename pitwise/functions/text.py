@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the source formats.
 YEAR_PIVOT = 69  # two-digit years from here on are nineteen-hundreds
@@ -133,7 +134,7 @@ def _over_unique(series: pd.Series, fn) -> pd.Series:
     return series.map(table).astype(object).where(series.notna(), None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(names: pd.Series) -> pd.Series:
     """Compatibility decomposition with combining marks removed.
 
@@ -166,7 +167,7 @@ def _natural_key(*parts: Column) -> Column:
     return F.concat_ws("|", *parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blake(keys: pd.Series) -> pd.Series:
     return keys.map(
         lambda k: hashlib.blake2b(k.encode("utf-8"), digest_size=8).hexdigest(), na_action="ignore"

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from pitwise.functions import text as X
 from pitwise.operators import clean
+from pitwise.session import durable
 from pitwise.sources import lines
 
 PROVIDER = "football-data"
-# ``main/<season code>/<division>.csv`` and ``extra/<country>.csv``.
-_MAIN = r"/main/(\d{4})/([^/]+)\.csv$"
-_EXTRA = r"/extra/([^/]+)\.csv$"
+# ``main/<season code>/<division>`` and ``extra/<country>``, each a CSV file or a
+# directory of CSV parts (``key=value`` directory names included).
+_PART = r"(?:[a-z_]+=)?"
+_END = r"(?:\.csv|/[^/]+\.csv)$"
+_MAIN = rf"/main/{_PART}(\d{{4}})/{_PART}([^/.]+){_END}"
+_EXTRA = rf"/extra/{_PART}([^/.]+){_END}"
 
 
 @dataclass(frozen=True)
@@ -27,7 +31,7 @@ class Landed:
 
 def ingest(spark: SparkSession, root: str, registry: DataFrame, native: bool = False) -> Landed:
     """Read both layouts under ``root``, clean them and combine them."""
-    files, rows = lines.scan_files(spark, [f"{root}/main/*/*.csv", f"{root}/extra/*.csv"])
+    files, rows = lines.scan_files(spark, root)
     dims = registry.select("competition_id", "country", "competition", "tier", "feed", "code",
                            "league_filter")
     path = F.col("path")
@@ -48,5 +52,6 @@ def ingest(spark: SparkSession, root: str, registry: DataFrame, native: bool = F
     shaped = clean.shape(main, clean.MAIN_LAYOUT, PROVIDER).unionByName(
         clean.shape(extra, clean.EXTRA_LAYOUT, PROVIDER)
     )
-    shaped = clean.readable_files(shaped)
+    # Parsed once: the counts, the unreadable files and the table itself read it back.
+    shaped = clean.readable_files(durable(shaped, "landed"))
     return Landed(clean.combine([clean.canonical(shaped, native)]), shaped, files, rows)

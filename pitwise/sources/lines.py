@@ -39,8 +39,9 @@ def _fields(line: Column) -> Column:
     return F.transform(F.when(line.contains('"'), quoted).otherwise(plain), lambda x: F.trim(x))
 
 
-def _raw_lines(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.text(paths).select(
+def _raw_lines(spark: SparkSession, root) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    return reader.text(root).select(
         F.col("value"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -48,7 +49,7 @@ def _raw_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+def scan_files(spark: SparkSession, root) -> tuple[DataFrame, DataFrame]:
     """``(files, rows)`` of a landing directory.
 
     ``files``: one row per file with its header, whether it is CSV at all and
@@ -56,7 +57,7 @@ def scan_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     ``(path, fields map<string,string>, padded, short, truncated, discarded)``;
     blank lines are gone, short ones padded, long ones cut.
     """
-    lines = _raw_lines(spark, paths)
+    lines = _raw_lines(spark, root)
     raw = F.col("value").cast("binary")
     # The header is the first line of the block at offset zero. Everything here
     # is a partial aggregate: one row per file and task reaches the shuffle.
