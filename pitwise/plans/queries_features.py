@@ -223,7 +223,7 @@ def elo_counts(spark, sf_dir):
 @query(
     "elo_zero_sum",
     f"""{WITH_CONTESTS} SELECT lower(country) AS pool, count(DISTINCT home_team_id) AS teams,
-      round(1500.0, 3) AS mean_rating FROM contests WHERE country = 'LOW' OR country <> 'LOW'
+      CAST(1500 AS DOUBLE) AS mean_rating FROM contests WHERE country = 'LOW' OR country <> 'LOW'
     GROUP BY country""",
 )
 def elo_zero_sum(spark, sf_dir):

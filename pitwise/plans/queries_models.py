@@ -1 +1,177 @@
-"""Registered queries."""
+"""Registered queries: trained forecasters over walk-forward folds, and what they serve.
+
+Settings are lighter than the shipped ones so that a query stays a query; every
+one still trains on and forecasts the whole table.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pitwise.operators import attribution, calibrate
+from pitwise.operators import evaluate as EV
+from pitwise.operators import folds as FD
+from pitwise.operators import models as M
+from pitwise.operators.resolve import played_first
+from pitwise.plans import builds, serving
+from pitwise.plans.contests import WITH_CONTESTS, contests, split_upcoming
+from pitwise.plans.registry import query, tidy
+from pitwise.schema import DESIGN_COLUMNS, KEY, PROBS
+from pitwise.session import durable
+
+_LIGHT = {
+    "logistic_regression": {"max_iter": 30},
+    "random_forest": {"trees": 10, "depth": 5},
+    "boosted_trees": {"rounds": 3, "depth": 3, "rate": 0.1},
+    "mlp": {"max_iter": 15},
+}
+
+
+def _frame(spark, sf_dir) -> DataFrame:
+    m = contests(spark, sf_dir)
+    rated = builds.ratings(m, models=("elo",))
+    return durable(builds.modelling_frame(m, rated, builds.features(m)), "frame")
+
+
+def _family(name, **kw):
+    return M.build(name, **{**_LIGHT[name], **kw})
+
+
+def _pooled(spark, sf_dir, names, folds=2) -> DataFrame:
+    frame = _frame(spark, sf_dir)
+    chosen = FD.walk_forward(frame)[-folds:]
+    forecasts = durable(M.fold_forecasts(frame, chosen, [_family(n) for n in names]), "forecasts")
+    return forecasts
+
+
+@query("model_logistic_regression")
+def model_logistic_regression(spark, sf_dir):
+    long = _pooled(spark, sf_dir, ["logistic_regression"])
+    return tidy(EV.pooled_table(M.backtest(long, 1)), 4)
+
+
+@query("model_random_forest")
+def model_random_forest(spark, sf_dir):
+    return tidy(EV.pooled_table(M.backtest(_pooled(spark, sf_dir, ["random_forest"]), 1)), 4)
+
+
+@query("model_boosted_trees")
+def model_boosted_trees(spark, sf_dir):
+    return tidy(EV.pooled_table(M.backtest(_pooled(spark, sf_dir, ["boosted_trees"], 1), 1)), 4)
+
+
+@query("model_mlp")
+def model_mlp(spark, sf_dir):
+    return tidy(EV.pooled_table(M.backtest(_pooled(spark, sf_dir, ["mlp"], 1), 1)), 4)
+
+
+@query("model_blend_calibrated")
+def model_blend_calibrated(spark, sf_dir):
+    """Members chosen by how differently they err, blended, tempered, and compared."""
+    names = ["logistic_regression", "random_forest"]
+    long = _pooled(spark, sf_dir, names, 1)
+    terms = EV.scored_terms(EV.to_wide(long), len(names))
+    order = [r["forecaster"] for r in EV.rank_forecasters(terms).collect()]
+    members = EV.select_members(EV.error_correlations(terms, names), order)
+    mixed = M.blended(long, members).select(*long.columns)
+    temps = calibrate.fit_temperatures(mixed, ["forecaster"])
+    scaled = calibrate.apply_temperatures(mixed, temps, ["forecaster"])
+    everything = reduce(DataFrame.unionByName, [long, mixed, scaled])
+    return tidy(EV.pooled_table(M.backtest(everything, len(names) + 2)), 4)
+
+
+@query("model_block_ablation")
+def model_block_ablation(spark, sf_dir):
+    frame = _frame(spark, sf_dir)
+
+    def make(columns=DESIGN_COLUMNS):
+        return M.logistic_regression(columns, max_iter=10)
+
+    return tidy(M.ablation(frame, FD.walk_forward(frame)[-1:], make, ("elo", "form")), 4)
+
+
+@query("model_setting_search")
+def model_setting_search(spark, sf_dir):
+    """Settings scored on folds of the slice before the evaluated ones."""
+    frame = _frame(spark, sf_dir)
+    early = FD.tuning_slice(frame, FD.walk_forward(frame))
+    found = M.search(
+        early,
+        FD.walk_forward(early, folds=3, horizon_days=120)[-1:],
+        M.logistic_regression,
+        [{"C": 0.01, "max_iter": 10}, {"C": 0.1541, "max_iter": 10}],
+    )
+    return tidy(
+        spark.createDataFrame([(s["C"], loss) for s, loss in found], "c double, log_loss double"), 4
+    )
+
+
+@query("model_permutation_importance")
+def model_permutation_importance(spark, sf_dir):
+    frame = _frame(spark, sf_dir)
+    fold = FD.walk_forward(frame)[-1]
+    model = _family("logistic_regression").fit(fold.train(frame))
+    return tidy(
+        attribution.permutation_importance(model, durable(fold.evaluate(frame), "e"), repeats=2), 4
+    )
+
+
+@query("model_block_attribution")
+def model_block_attribution(spark, sf_dir):
+    frame = _frame(spark, sf_dir)
+    fold = FD.walk_forward(frame)[-1]
+    model = _family("logistic_regression").fit(fold.train(frame))
+    return tidy(attribution.block_attribution(model, durable(fold.evaluate(frame), "e")), 4)
+
+
+@query(
+    "design_matrix_nulls",
+    f"""{WITH_CONTESTS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS goal_model_values,
+      CAST(30 AS INTEGER) AS columns FROM contests""",
+)
+def design_matrix_nulls(spark, sf_dir):
+    """Thirty ordered columns; a rating model left out stays null rather than zero."""
+    m = contests(spark, sf_dir)
+    frame = builds.modelling_frame(m, builds.ratings(m, models=("elo",)), builds.features(m))
+    x = M.design_matrix(frame)
+    return x.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("dc_prob_home").alias("goal_model_values"),
+        F.lit(len(x.columns) - 1).alias("columns"),
+    )
+
+
+@query(
+    "batch_pricing",
+    f"""{WITH_CONTESTS} SELECT match_id, date <= DATE '2001-05-31' AS in_sample, TRUE AS valid
+    FROM contests WHERE date >= DATE '2001-05-01'""",
+)
+def batch_pricing(spark, sf_dir):
+    """Fit on what was played, price a batch of requests, stamp every forecast."""
+    m = contests(spark, sf_dir)
+    played, upcoming = split_upcoming(m, "2001-06-01")
+    everything = played.unionByName(upcoming)
+    frame = durable(
+        builds.modelling_frame(
+            everything, builds.ratings(everything, models=("elo",)), builds.features(everything)
+        ),
+        "frame",
+    )
+    is_played = F.col("result").isNotNull()
+    model = serving.fit_served(frame.filter(is_played), [_family("logistic_regression")])
+    rows = builds.served_columns(frame)
+    keys = frame.select(KEY, is_played.alias("played"))
+    tagged = rows.join(keys, KEY)
+    served = played_first(tagged.filter("played").drop("played"),
+                          tagged.filter("NOT played").drop("played"))
+    requests = m.filter(F.col("date") >= F.lit("2001-05-01").cast("date")).select(
+        F.col(KEY).alias("request_id"), KEY, "competition_id", "home_team", "away_team", "date"
+    )
+    predictions, _ = serving.price(model, requests, served)
+    total = sum((F.col(p) for p in PROBS), F.lit(0.0))
+    return predictions.select(
+        KEY, "in_sample", (F.abs(total - 1.0) < 1e-6).alias("valid")
+    )

@@ -1 +1,153 @@
-"""Registered queries."""
+"""Registered queries: each runs a stream over the given tables to its end and reads the sink.
+
+Inputs are the tables cut into files by time, one file per micro-batch where
+order matters, so the stream sees them arrive.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pitwise.operators import elo
+from pitwise.plans.contests import WITH_CONTESTS, contests, table
+from pitwise.plans.registry import query, tidy
+from pitwise.schema import KEY
+from pitwise.session import scratch_path
+from pitwise.streaming import elo as stream_elo
+from pitwise.streaming import live, log
+
+
+def _run(spark, stream, schema):
+    out, checkpoint = scratch_path(spark, "sink"), scratch_path(spark, "offsets")
+    log.append_to(stream, out, checkpoint).awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+def _land(df, by):
+    """Write ``df`` as one file per value of ``by``, in that order of arrival."""
+    spark = df.sparkSession
+    root = scratch_path(spark, "arrivals")
+    steps = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+    for step in steps:  # a few periods; each is one append
+        df.filter(F.col(by) == step).drop(by).coalesce(1).write.mode("append").parquet(root)
+    return root
+
+
+@query("stream_elo_ratings")
+def stream_elo_ratings(spark, sf_dir):
+    """Ratings of a stream of years; equal to the batch walk."""
+    m = contests(spark, sf_dir)
+    root = _land(m.withColumn("period", F.year("date")), "period")
+    rated = stream_elo.rate_stream(log.read_files(spark, root, m.schema, per_trigger=1))
+    return tidy(_run(spark, rated, stream_elo._OUTPUT))
+
+
+@query(
+    "stream_elo_equals_batch",
+    f"{WITH_CONTESTS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM contests",
+)
+def stream_elo_equals_batch(spark, sf_dir):
+    m = contests(spark, sf_dir)
+    root = _land(m.withColumn("period", F.year("date")), "period")
+    rated = stream_elo.rate_stream(log.read_files(spark, root, m.schema, per_trigger=1))
+    streamed = _run(spark, rated, stream_elo._OUTPUT)
+    batch = elo.rate(m).select(KEY, F.col("elo_home").alias("b_home"),
+                               F.col("elo_away").alias("b_away"))
+    both = streamed.join(batch, KEY, "full_outer")
+    same = F.col("elo_home").eqNullSafe(F.col("b_home")) & F.col("elo_away").eqNullSafe(
+        F.col("b_away")
+    )
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~same).alias("different"))
+
+
+def looks(events):
+    """Event rows read as looks at contests in play: one contest per user."""
+    return events.select(
+        F.col("ts").alias("seen_at"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias(KEY),
+        F.lit("X_1").alias("competition_id"),
+        F.concat(F.lit("Home "), F.col("user_id").cast("string")).alias("home_team"),
+        F.concat(F.lit("Away "), F.col("user_id").cast("string")).alias("away_team"),
+        F.when(F.col("event_type") == "error", "unknown").otherwise("live").alias("status"),
+        F.floor(F.col("value") / 50).cast("int").alias("home_goals"),
+        F.lit(0).alias("away_goals"),
+    )
+
+
+@query(
+    "stream_live_events",
+    """WITH seen AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS match_id, ts, event_id,
+        CAST(floor(value / 50) AS INTEGER) AS g FROM events WHERE event_type <> 'error'),
+    first AS (SELECT match_id, arg_min(g, (ts, event_id)) AS g0 FROM seen GROUP BY match_id),
+    steps AS (SELECT match_id, g, lag(g) OVER (PARTITION BY match_id ORDER BY ts, event_id) AS b
+      FROM seen)
+    SELECT 'kick_off' AS kind, count(*) AS n FROM first
+    UNION ALL SELECT 'goal', count(*) FROM steps WHERE b IS NOT NULL AND b <> g""",
+)
+def stream_live_events(spark, sf_dir):
+    """Kick-offs and score changes over the event stream.
+
+    The timer is longer than the data, so no contest ends; the end of a match is
+    tested on a fixture, where the looks go on without it.
+    """
+    rows = table(spark, sf_dir, "events")
+    dated = looks(rows).withColumn("period", F.date_trunc("month", "seen_at"))
+    root = _land(dated, "period")
+    stream = log.read_files(spark, root, live.LOOK, per_trigger=1)
+    out = _run(spark, live.events(stream, "2000-01-01", 10**8), live.EVENT)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_followed_teams",
+    "SELECT 'u' || CAST(user_id AS VARCHAR) AS match_id, count(*) AS n FROM events "
+    "WHERE user_id % 7 = 0 GROUP BY 1",
+)
+def stream_followed_teams(spark, sf_dir):
+    rows = looks(table(spark, sf_dir, "events"))
+    root = scratch_path(spark, "arrivals")
+    rows.write.parquet(root)
+    users = table(spark, sf_dir, "events").filter("user_id % 7 = 0").select(
+        F.concat(F.lit("Home "), F.col("user_id").cast("string")).alias("team")
+    ).distinct()
+    out = _run(spark, live.followed(log.read_files(spark, root, live.LOOK), users), live.LOOK)
+    return out.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_first_sight",
+    "SELECT event_id, user_id FROM events",
+)
+def stream_first_sight(spark, sf_dir):
+    """Two overlapping pulls of the events, each kept once."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    root = scratch_path(spark, "arrivals")
+    events.write.parquet(root)
+    events.filter("event_id % 2 = 0").write.mode("append").parquet(root)
+    stream = log.read_files(spark, root, events.schema)
+    out = _run(spark, log.first_sight(stream, "ts", "3650 days", ["event_id"]), events.schema)
+    return out.select("event_id", "user_id")
+
+
+@query(
+    "stream_resolved_forecasts",
+    f"""{WITH_CONTESTS} SELECT match_id, CASE WHEN CAST(substr(match_id, 2, 12) AS BIGINT) % 2 = 0
+      THEN result END AS result FROM contests WHERE date < DATE '2001-06-01'
+      AND CAST(substr(match_id, 2, 12) AS BIGINT) % 2 = 0""",
+)
+def stream_resolved_forecasts(spark, sf_dir):
+    """Forecasts joined to outcomes that arrive a day later, as two streams."""
+    m = contests(spark, sf_dir).filter(F.col("date") < F.lit("2001-06-01").cast("date"))
+    left = m.select(KEY, F.col("date").cast("timestamp").alias("predicted_at"))
+    even = F.substring(KEY, 2, 12).cast("long") % 2 == 0
+    right = m.filter(even).select(
+        KEY, "result", F.date_add("date", 1).cast("timestamp").alias("settled_at")
+    )
+    a, b = scratch_path(spark, "forecasts"), scratch_path(spark, "outcomes")
+    left.write.parquet(a)
+    right.write.parquet(b)
+    joined = log.resolve_stream(
+        log.read_files(spark, a, left.schema), log.read_files(spark, b, right.schema)
+    )
+    out = _run(spark, joined, "match_id string, predicted_at timestamp, result string")
+    return out.filter("result IS NOT NULL").select(KEY, "result")

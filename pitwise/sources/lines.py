@@ -39,9 +39,18 @@ def _fields(line: Column) -> Column:
     return F.transform(F.when(line.contains('"'), quoted).otherwise(plain), lambda x: F.trim(x))
 
 
-def _raw_lines(spark: SparkSession, root) -> DataFrame:
+# Up to this many files their headers are small enough to send to every task;
+# beyond it the headers are shuffled to the lines.
+BROADCAST_FILES = 10_000
+
+
+def _text(spark: SparkSession, root) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-    return reader.text(root).select(
+    return reader.text(root)
+
+
+def _lines(text: DataFrame) -> DataFrame:
+    return text.select(
         F.col("value"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -57,7 +66,9 @@ def scan_files(spark: SparkSession, root) -> tuple[DataFrame, DataFrame]:
     ``(path, fields map<string,string>, padded, short, truncated, discarded)``;
     blank lines are gone, short ones padded, long ones cut.
     """
-    lines = _raw_lines(spark, root)
+    text = _text(spark, root)
+    few = len(text.inputFiles()) <= BROADCAST_FILES
+    lines = _lines(text)
     raw = F.col("value").cast("binary")
     # The header is the first line of the block at offset zero. Everything here
     # is a partial aggregate: one row per file and task reaches the shuffle.
@@ -91,13 +102,14 @@ def scan_files(spark: SparkSession, root) -> tuple[DataFrame, DataFrame]:
         ).alias("columns"),
     )
     usable = files.filter(F.col("is_csv") & F.col("decodable") & (F.size("columns") > 0))
+    headers = usable.select("path", "head", "utf8", "width", "columns")
     data = (
         lines.select("value", "path")
-        .join(usable.select("path", "head", "utf8", "width", "columns"), "path")
+        .join(F.broadcast(headers) if few else headers, "path")
         .filter(F.col("value") != F.col("head"))
     )
-    text = F.when(F.col("utf8"), F.col("value")).otherwise(_fallback(F.col("value")))
-    data = data.select("path", "width", "columns", _fields(text).alias("cells"))
+    decoded = F.when(F.col("utf8"), F.col("value")).otherwise(_fallback(F.col("value")))
+    data = data.select("path", "width", "columns", _fields(decoded).alias("cells"))
     data = data.filter(F.exists("cells", lambda c: c != ""))
     have = F.size("cells")
     last_named = F.array_max(F.transform("columns", lambda c: c["at"]))
