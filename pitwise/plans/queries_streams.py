@@ -63,7 +63,7 @@ def stream_elo_equals_batch(spark, sf_dir):
 def looks(events):
     """Event rows read as looks at contests in play: one contest per user."""
     return events.select(
-        F.col("ts").alias("seen_at"),
+        F.col("ts").cast("timestamp").alias("seen_at"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias(KEY),
         F.lit("X_1").alias("competition_id"),
         F.concat(F.lit("Home "), F.col("user_id").cast("string")).alias("home_team"),
@@ -120,7 +120,9 @@ def stream_followed_teams(spark, sf_dir):
 )
 def stream_first_sight(spark, sf_dir):
     """Two overlapping pulls of the events, each kept once."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")
+    )
     root = scratch_path(spark, "arrivals")
     events.write.parquet(root)
     events.filter("event_id % 2 = 0").write.mode("append").parquet(root)
