@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitwise.functions.scoring import points
@@ -24,7 +24,11 @@ _SHARED = ("matches_played", "rest_days", "matches_14d", *_ROLLING)
 
 
 def team_days(matches: DataFrame) -> DataFrame:
-    """What each team knew before each of its days: one row per (team, day)."""
+    """What each team knew before each of its days, per venue it played at that day.
+
+    One row per ``(side, day)`` where ``side`` is the team and the venue in one
+    value, so that home and away look up the very same table.
+    """
     long = W.long_form(matches).withColumn(W.DAY, W.day_number(F.col("date")))
     # The last rows per (team, venue, day) contain the last rows per (team, day),
     # so the team and the venue windows share one reduction and one exchange.
@@ -42,14 +46,27 @@ def team_days(matches: DataFrame) -> DataFrame:
         ],
         W.trailing_mean("points", ["team", "venue"], FORM_WINDOW).alias("venue_points"),
     )
-    at = {v: F.when(F.col("venue") == v, F.col("venue_points")) for v in ("home", "away")}
-    return known.groupBy("team", W.DAY).agg(
-        F.struct(
-            *[F.max(name).alias(name) for name in _SHARED],
-            F.max(at["home"]).alias("venue_points_home"),
-            F.max(at["away"]).alias("venue_points_away"),
-        ).alias("past")
+    here = {v: F.col("venue") == v for v in ("home", "away")}
+    per_day = known.groupBy("team", W.DAY).agg(
+        *[F.max(name).alias(name) for name in _SHARED],
+        *[F.bool_or(here[v]).alias(f"at_{v}") for v in here],
+        *[F.max(F.when(here[v], F.col("venue_points"))).alias(f"points_{v}") for v in here],
+    )
+    venues = F.array(
+        *[
+            F.struct(
+                side_key(F.col("team"), v).alias("side"),
+                F.col(f"at_{v}").alias("at"),
+                F.col(f"points_{v}").alias("venue_points_5"),
+            )
+            for v in here
+        ]
     )
+    return per_day.select(W.DAY, *_SHARED, F.inline(venues)).filter("at").drop("at")
+
+
+def side_key(team: Column, venue: str) -> Column:
+    return F.concat_ws("|", F.lit(venue), team)
 
 
 def pair_days(matches: DataFrame) -> DataFrame:
@@ -86,23 +103,24 @@ def team_history(matches: DataFrame) -> DataFrame:
     """Nine features per side, keyed by contest.
 
     The per-day table is joined once as the home and once as the away side. It
-    is the same subplan both times, so Spark computes its exchange once.
+    is the same subplan with the same columns both times, so Spark computes its
+    exchange once.
     """
     days = team_days(matches)
+    names = [*_SHARED, "venue_points_5"]
     base = matches.select(
-        KEY, "home_team_id", "away_team_id", W.day_number(F.col("date")).alias(W.DAY)
+        KEY,
+        *[side_key(F.col(f"{v}_team_id"), v).alias(f"{v}_side") for v in ("home", "away")],
+        W.day_number(F.col("date")).alias(W.DAY),
     )
-    for side in ("home", "away"):
+    for venue in ("home", "away"):
         one = days.select(
-            F.col("team").alias(f"{side}_team_id"), W.DAY, F.col("past").alias(f"{side}_past")
+            F.col("side").alias(f"{venue}_side"),
+            W.DAY,
+            *[F.col(name).alias(f"{venue}_{name}") for name in names],
         )
-        base = base.join(one, [f"{side}_team_id", W.DAY], "left")
-    columns = []
-    for side in ("home", "away"):
-        past = F.col(f"{side}_past")
-        columns += [past[name].alias(f"{side}_{name}") for name in _SHARED]
-        columns.append(past[f"venue_points_{side}"].alias(f"{side}_venue_points_5"))
-    return base.select(KEY, *columns)
+        base = base.join(one, [f"{venue}_side", W.DAY], "left")
+    return base.select(KEY, *[f"{v}_{name}" for v in ("home", "away") for name in names])
 
 
 def head_to_head(matches: DataFrame) -> DataFrame:

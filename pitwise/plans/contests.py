@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwise.schema import MATCH_SCHEMA, conform
+from pitwise.session import spread
 
 CONTESTS = """
 SELECT
@@ -73,7 +74,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical contest table of one data directory."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     return conform(spark.sql(CONTESTS.replace("FROM orders", "FROM {orders}"), orders=orders),
                    MATCH_SCHEMA)
 
