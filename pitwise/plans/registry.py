@@ -28,10 +28,21 @@ def query(name: str, sql: str | None = None):
 
 
 def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded for comparison; adding zero turns a negative zero into zero."""
+    """Doubles rounded half away from zero for comparison, in plain arithmetic.
+
+    ``round`` on a double goes through decimal objects; scaling and flooring
+    stays in generated code. Infinite and very large values pass through, and
+    adding zero turns a negative zero into zero.
+    """
+    scale = 10.0**digits
+
+    def rounded(c):
+        near = F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + F.lit(0.0)
+        return F.when(F.abs(c) < 1e9, near).otherwise(c)
+
     return df.select(
         *[
-            (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+            rounded(F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema.fields
