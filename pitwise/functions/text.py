@@ -233,11 +233,12 @@ def word_prefixes(words: Column) -> Column:
 
 
 def uk_time(utc: Column) -> Column:
-    return F.from_utc_timestamp(utc, "Europe/London")
+    return zone_time(utc, "Europe/London")
 
 
 def zone_time(utc: Column, zone: str) -> Column:
-    return F.from_utc_timestamp(utc, zone)
+    """Wall-clock time of an instant in a zone, whatever the session's own zone is."""
+    return F.convert_timezone(F.current_timezone(), F.lit(zone), utc.cast("timestamp_ntz"))
 
 
 def kickoff_label(utc: Column, zone: str, label: str) -> Column:

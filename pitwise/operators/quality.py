@@ -252,7 +252,7 @@ def metadata_drift(matches: DataFrame, registry: DataFrame) -> DataFrame:
         | ~F.col("competition").eqNullSafe(F.col("want_name"))
         | ~F.col("tier").eqNullSafe(F.col("want_tier"))
     )
-    return seen.join(F.broadcast(want), "competition_id").filter(wrong).select(*seen.columns)
+    return seen.join(want, "competition_id").filter(wrong).select(*seen.columns)
 
 
 def unregistered(matches: DataFrame, registry: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def check_matches(matches: DataFrame, registry: DataFrame | None = None) -> Data
     if registry is not None:
         capable = registry.filter(F.col("feed") == "main").select("competition_id")
         recent = matches.filter(F.col("date") >= F.lit(RECENT_FROM).cast("date")).join(
-            F.broadcast(capable), "competition_id", "left_semi"
+            capable, "competition_id", "left_semi"
         )
         supplied = F.when(
             F.count(F.lit(1)) >= RECENT_ROWS, F.avg(F.col("home_shots").isNotNull().cast("double"))

@@ -652,13 +652,13 @@ def recent_clubs_by_country(spark, sf_dir):
 
 @query(
     "fixtures_not_played_anti_join",
-    f"""{WITH_CONTESTS} SELECT match_id, date FROM contests WHERE date >= DATE '2000-06-01'
-      AND CAST(substr(match_id, 2, 12) AS BIGINT) % 3 <> 0""",
+    f"""{WITH_CONTESTS} SELECT match_id, date FROM contests WHERE date >= DATE '2000-09-01'""",
 )
 def fixtures_not_played_anti_join(spark, sf_dir):
-    m = _with_number(contests(spark, sf_dir))
-    _, fixtures = split_upcoming(m.drop("n"), "2000-06-01")
-    played = m.filter(F.col("n") % 3 == 0)
+    """Fixtures since June, of which those before September have been played."""
+    m = contests(spark, sf_dir)
+    _, fixtures = split_upcoming(m, "2000-06-01")
+    played, _ = split_upcoming(m, "2000-09-01")
     return resolve.not_played(fixtures, played).select(KEY, "date")
 
 
@@ -702,7 +702,7 @@ def natural_key_resolution(spark, sf_dir):
     )
     served = resolve.played_first(
         m.select(KEY, "competition_id", "home_team", "away_team", "date"),
-        m.select(KEY, "competition_id", "home_team", "away_team", "date").limit(0),
+        m.select(KEY, "competition_id", "home_team", "away_team", "date").filter(F.lit(False)),
     )
     found, _ = resolve.resolve_requests(requests, served)
     return found.select("request_id", KEY)

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # one folder per application, only where none is named
 
 
 def build_session(app: str = "pitwise", cores: str | None = None) -> SparkSession:
@@ -41,10 +42,12 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_CONF, None
     )
-    if not named:
-        named = tempfile.mkdtemp(prefix="pitwise-")
-        spark.conf.set(CHECKPOINT_CONF, named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="pitwise-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

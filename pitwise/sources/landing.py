@@ -41,7 +41,7 @@ def ingest(spark: SparkSession, root: str, registry: DataFrame, native: bool = F
         X.season_code_to_label(F.regexp_extract(path, _MAIN, 1)).alias("season"),
     )
     main = clean.keep_own_division(main, F.col("code")).join(
-        F.broadcast(dims.filter(F.col("feed") == "main")), "code"
+        dims.filter(F.col("feed") == "main"), "code"
     )
     extra = rows.filter(path.rlike(_EXTRA)).select(
         "*",
