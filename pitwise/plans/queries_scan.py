@@ -839,6 +839,9 @@ def team_count(spark, sf_dir):
 
 @query(
     "fixture_divisions",
+    f"""{WITH_CONTESTS} SELECT competition_id, country, competition, tier, 'main' AS feed,
+      replace(competition_id, '_', '') AS code, CAST(NULL AS VARCHAR) AS league_filter,
+      count(*) AS rows FROM contests WHERE country <> 'LOW' GROUP BY ALL""",
 )
 def fixture_divisions(spark, sf_dir):
     """Which of the registry's competitions the contest table holds rows for."""
