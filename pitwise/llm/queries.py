@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm import bytebpe, minhash, mixing, quality, sharding, simhash, tokenfile
+from pitwise.llm import bytebpe, lm, maintext, minhash, mixing, neighbours, quality, sharding, simhash, tokenfile
 from pitwise.llm.common import table
 from pitwise.session import scratch_path
 
@@ -82,3 +82,18 @@ def op7(spark, sf_dir) -> DataFrame:
 @query("op9_label_propagation_shards")
 def op9(spark, sf_dir) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op3_main_text")
+def op3(spark, sf_dir) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark, sf_dir) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_log_bilinear_lm")
+def op8(spark, sf_dir) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
