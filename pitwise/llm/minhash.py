@@ -133,7 +133,8 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id",
     place = F.aggregate(_longs(steps), F.lit(0).cast("bigint"), halve)
     placed = docs.select(key, text, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place).cast("int").alias("_range"))
     low = placed.groupBy("_range").agg(F.min(key).alias("_low"))
-    first = placed.join(low, "_range").where(F.col(key).eqNullSafe(F.col("_low")))
+    # one row of two numbers per range, at most RANGES + 1: texts need not move to meet it
+    first = placed.join(F.broadcast(low), "_range").where(F.col(key).eqNullSafe(F.col("_low")))
     heads = first.groupBy("_range").agg(F.min(text).alias(text))
     heads = heads.select("_range", F.struct(F.col(text), *[f(F.col(text)).alias(c) for c, f in derived.items()]).alias("head"))
     by_range = Window.orderBy("_range")
