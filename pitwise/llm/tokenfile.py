@@ -101,6 +101,23 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
+@lru_cache(maxsize=1)
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def shrink(ids: np.ndarray) -> bytes:
+    """Ids of one document for the way between tasks: their width in bytes, then compressed."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([width]) + _zstd()[0].compress(ids.astype(f"<u{width}").tobytes())
+
+
+def grow(raw: bytes) -> np.ndarray:
+    return np.frombuffer(_zstd()[1].decompress(raw[1:]), dtype=f"<u{raw[0]}").astype("<u4")
+
+
 class WordEncoder:
     """The tokenizer library with a memory of pieces between white space.
 
@@ -197,7 +214,7 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, the end id last.
+    """(doc_id, ids): the ids of each document as :func:`shrink` packs them, the end id last.
 
     Null and empty texts have the end id alone.
     """
@@ -208,12 +225,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             for part in pieces(batch, "text", 8 << 20):
                 ids, counts = own.encode([t or b"" for t in part.column("text").to_pylist()])
                 full = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-                ends = np.concatenate([[0], np.cumsum(counts + 1)]) * 4
+                each = np.split(full, np.cumsum(counts + 1)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.BinaryArray.from_buffers(
-                        pa.binary(), len(counts),
-                        [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(full.tobytes())])],
-                    names=["doc_id", "ids"],
+                    [part.column("doc_id"), pa.array([shrink(x) for x in each], pa.binary())], names=["doc_id", "ids"]
                 )
 
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -227,7 +241,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
             for part in pieces(batch, "ids"):
-                got = np.bincount(np.frombuffer(b"".join(filter(None, part.column("ids").to_pylist())), "<u4"))
+                got = np.bincount(np.concatenate([grow(x) for x in part.column("ids").to_pylist()]))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
@@ -238,9 +252,9 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 
 
 def write_tokens(tokens: DataFrame, folder: str) -> None:
-    """Write (doc_id, ids) as shards in ascending doc_id order under ``folder``.
+    """Write (doc_id, shrunk ids) as shards in ascending doc_id order under ``folder``.
 
-    Rows of equal doc_id follow the order of their ids; null doc_ids come first. The rank table is
+    Rows of equal doc_id follow the order of their packed ids; null doc_ids come first. The rank table is
     as large as the vocabulary. A task writes its shard under a name of its own attempt and moves
     it into place when it is whole, so a task that runs again does no harm.
     """
@@ -264,7 +278,7 @@ def write_tokens(tokens: DataFrame, folder: str) -> None:
 
         def flush():
             nonlocal held, waiting
-            raw = [np.frombuffer(x, dtype="<u4") for _, x in held]
+            raw = [x for _, x in held]
             write_block(out, [d for d, _ in held], np.array([len(x) for x in raw]), rank_of[np.concatenate(raw)])
             held, waiting = [], 0
 
@@ -274,10 +288,10 @@ def write_tokens(tokens: DataFrame, folder: str) -> None:
                     out = store.open_output_stream(draft)
                     out.write(MAGIC)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
-                    held.append((doc_id, ids))
-                    waiting += len(ids) // 4
+                    held.append((doc_id, grow(ids)))
+                    waiting += len(held[-1][1])
                     docs += 1
-                    tokens_ += len(ids) // 4
+                    tokens_ += len(held[-1][1])
                     if waiting >= BLOCK_TOKENS:
                         flush()
         if out is None:
