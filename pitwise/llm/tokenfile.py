@@ -307,7 +307,7 @@ def write_tokens(tokens: DataFrame, folder: str) -> None:
 
     store, base = arrow_fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    placed = tokens.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    placed = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     placed.mapInArrow(run, "shard long, file string, docs long, tokens long").write.parquet(f"{folder}/shards")
 
 
