@@ -204,7 +204,7 @@ def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Ranks of one vocabulary with the slices merged so far; one for each Python worker."""
 
-    KEPT = 1 << 20
+    KEPT = 1 << 19
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches):
         own = codec(path)
         for batch in batches:
-            for part in pieces(batch, "_raw", 4 << 20):
+            for part in pieces(batch, "_raw", 1 << 20):
                 ids, counts = own.encode([t or b"" for t in part.column("_raw").to_pylist()])
                 kept = [part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(
@@ -321,7 +321,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches):
         own = codec(path)
         for batch in batches:
-            for part in pieces(batch, ids, 4 << 20):
+            for part in pieces(batch, ids, 1 << 20):
                 raw = part.column(here).to_pylist()
                 out = [own.decode(np.frombuffer(r or b"", dtype="<u4")) for r in raw]
                 yield pa.RecordBatch.from_arrays(

@@ -127,7 +127,7 @@ class WordEncoder:
     of special tokens are never cut at.
     """
 
-    KEPT = 1 << 20
+    KEPT = 3 << 18
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -222,7 +222,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches):
         own = word_encoder(path)
         for batch in batches:
-            for part in pieces(batch, "text", 8 << 20):
+            for part in pieces(batch, "text", 4 << 20):
                 ids, counts = own.encode([t or b"" for t in part.column("text").to_pylist()])
                 full = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 each = np.split(full, np.cumsum(counts + 1)[:-1])
