@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.common import pieces, spread_ranges
+from pitwise.llm.common import pieces, spread_ranges, unused
 
 # Classes of code points. The letters are those that contractions are made of.
 OTHER, APOSTROPHE, SPACE, BLANK, NUMBER, LETTER, L_STMD, L_RV, L_E, L_L, BREAK = range(11)
@@ -294,12 +294,13 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     is a rank file that every worker can open.
     """
     columns = [c for c in docs.columns if c not in ("n_tokens", "ids", "offsets")]
+    raw = unused("raw", columns)
 
     def run(batches):
         own = codec(path)
         for batch in batches:
-            for part in pieces(batch, "_raw", 1 << 20):
-                ids, counts = own.encode([t or b"" for t in part.column("_raw").to_pylist()])
+            for part in pieces(batch, raw, 1 << 20):
+                ids, counts = own.encode([t or b"" for t in part.column(raw).to_pylist()])
                 kept = [part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(counts), _cut_bytes(ids, counts),
@@ -310,7 +311,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = docs.select(
         *columns, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit(b"").alias("offsets")
     ).schema
-    return docs.select(*columns, F.col(text).cast("binary").alias("_raw")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text).cast("binary").alias(raw)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -322,8 +323,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         own = codec(path)
         for batch in batches:
             for part in pieces(batch, ids, 1 << 20):
-                raw = part.column(here).to_pylist()
-                out = [own.decode(np.frombuffer(r or b"", dtype="<u4")) for r in raw]
+                held = part.column(here).to_pylist()
+                out = [own.decode(np.frombuffer(r or b"", dtype="<u4")) for r in held]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(out, pa.binary())], names=[*columns, "decoded"]
                 )

@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array, in the JVM; no word gives an empty array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARS))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.common import crc_remainder, pieces, spread_ranges, sums, word_lists
+from pitwise.llm.common import crc_remainder, pieces, spread_ranges, sums, unused, word_lists
 
 BUCKET_BITS = 18
 GRAMS = (2, 3, 4)
@@ -193,19 +193,20 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     of sums; every row is kept, and an empty table stays empty.
     """
     columns = [c for c in docs.columns if c != "score"]
+    raw = unused("raw", columns)
     weights, bias = model.per_bucket(), float(model.bias[1] - model.bias[0])
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "_raw", 4 << 20):
-                got = scores(part.column("_raw"), weights, bias)
+            for part in pieces(batch, raw, 4 << 20):
+                got = scores(part.column(raw), weights, bias)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(columns))), pa.array(got, pa.float64())],
                     names=[*columns, "score"],
                 )
 
     schema = docs.select(*columns, F.lit(0.0).alias("score")).schema
-    return docs.select(*columns, F.col(text).cast("binary").alias("_raw")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text).cast("binary").alias(raw)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.common import pieces
+from pitwise.llm.common import pieces, unused
 from pitwise.llm.components import components
 from pitwise.session import durable
 
@@ -59,16 +59,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """``docs`` with the signed fingerprint of each whole text; null counts as empty."""
     columns = list(docs.columns)
+    raw = unused("raw", [*columns, out])
 
     def add(batches):
         for batch in batches:
-            for part in pieces(batch, "_raw"):
-                fps = [fingerprint(t) for t in part.column("_raw").to_pylist()]
+            for part in pieces(batch, raw):
+                fps = [fingerprint(t) for t in part.column(raw).to_pylist()]
                 kept = [part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(fps, pa.int64())], names=[*columns, out])
 
     schema = docs.select(*columns, F.lit(0).cast("long").alias(out)).schema
-    return docs.select(*columns, F.col(text).cast("binary").alias("_raw")).mapInArrow(add, schema)
+    return docs.select(*columns, F.col(text).cast("binary").alias(raw)).mapInArrow(add, schema)
 
 
 @dataclass(frozen=True)
@@ -264,11 +265,10 @@ def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     id keeps its smallest row.
     """
     columns = docs.columns
-    fps = durable(with_fingerprint(docs, out="_fp"), "simhash-docs")
-    groups = classes(fps.select("doc_id", F.col("_fp").alias("fp")), radius)
-    low = fps.join(groups, fps["_fp"] == groups["fp"]).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    packed = docs.select("doc_id", "text", F.struct(*columns).alias("row"))
+    fps = durable(with_fingerprint(packed).select("doc_id", "row", "fp"), "simhash-docs")
+    groups = classes(fps.select("doc_id", "fp"), radius)
+    low = fps.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     order = ["doc_id", *[c for c in columns if c != "doc_id"]]
-    first = F.min(F.struct(*order)).alias("r")
+    first = F.min(F.struct(*[F.col("row")[c].alias(c) for c in order])).alias("r")
     return low.groupBy("root").agg(first).select(*[F.col("r")[c].alias(c) for c in columns])
