@@ -174,12 +174,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     without any label the model gives one half.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~held_out())
+    order = ["draw", "doc_id", "quality"]
+    # the sample is drawn from ids alone, so only its own texts move
+    ids = (
+        usable.select("doc_id").join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+        .distinct().orderBy(*order).limit(rows)
+    )
     chosen = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~held_out())
-        .join(known, "doc_id")
-        .withColumn("draw", F.xxhash64("doc_id"))
-        .orderBy("draw", "doc_id", "quality", "text").limit(rows)
+        usable.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(*order, "text").limit(rows)
         .select(F.col("text").cast("binary").alias("text"), "quality").toArrow()
     )
     texts = chosen.column("text").combine_chunks()
