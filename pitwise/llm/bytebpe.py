@@ -204,7 +204,7 @@ def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Ranks of one vocabulary with the slices merged so far; one for each Python worker."""
 
-    KEPT = 1 << 19
+    KEPT = 1 << 18
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -294,13 +294,16 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     is a rank file that every worker can open.
     """
     columns = [c for c in docs.columns if c not in ("n_tokens", "ids", "offsets")]
-    raw = unused("raw", columns)
+    # a kept text column is read where it is; a batch does not hold it twice
+    kept_text = text in columns and docs.schema[text].dataType.simpleString() in ("string", "binary")
+    raw = text if kept_text else unused("raw", columns)
 
     def run(batches):
         own = codec(path)
         for batch in batches:
             for part in pieces(batch, raw, 1 << 20):
-                ids, counts = own.encode([t or b"" for t in part.column(raw).to_pylist()])
+                texts = part.column(raw).cast(pa.binary()).to_pylist()
+                ids, counts = own.encode([t or b"" for t in texts])
                 kept = [part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(counts), _cut_bytes(ids, counts),
@@ -311,7 +314,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = docs.select(
         *columns, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit(b"").alias("offsets")
     ).schema
-    return docs.select(*columns, F.col(text).cast("binary").alias(raw)).mapInArrow(run, schema)
+    extra = [] if kept_text else [F.col(text).cast("binary").alias(raw)]
+    return docs.select(*columns, *extra).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
