@@ -36,14 +36,18 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
     The cluster names a shared folder in ``spark.checkpoint.dir`` and that one
-    is used as it is. Only where the setting is absent (tests on one machine)
-    is a local folder created, once per session.
+    is used as it is. Only a session on one machine may do without the setting:
+    a local folder is created for it, once per application. On any other master
+    that folder would be a different one on each executor, so it is refused.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_CONF, None
     )
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on master {master}")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="pitwise-")
