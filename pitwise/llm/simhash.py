@@ -59,17 +59,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """``docs`` with the signed fingerprint of each whole text; null counts as empty."""
     columns = list(docs.columns)
-    raw = unused("raw", [*columns, out])
+    # a kept text column is read where it is; a batch does not hold it twice
+    kept_text = docs.schema[text].dataType.simpleString() in ("string", "binary")
+    raw = text if kept_text else unused("raw", [*columns, out])
 
     def add(batches):
         for batch in batches:
             for part in pieces(batch, raw):
-                fps = [fingerprint(t) for t in part.column(raw).to_pylist()]
+                fps = [fingerprint(t) for t in part.column(raw).cast(pa.binary()).to_pylist()]
                 kept = [part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(fps, pa.int64())], names=[*columns, out])
 
     schema = docs.select(*columns, F.lit(0).cast("long").alias(out)).schema
-    return docs.select(*columns, F.col(text).cast("binary").alias(raw)).mapInArrow(add, schema)
+    extra = [] if kept_text else [F.col(text).cast("binary").alias(raw)]
+    return docs.select(*columns, *extra).mapInArrow(add, schema)
 
 
 @dataclass(frozen=True)
