@@ -6,7 +6,8 @@ are numbered and composed by a product table. The states of a whole batch come f
 blocks: prefixes are composed inside every block at once, block results are scanned, and the states
 follow. Boundaries are read off states and classes; no regular expression is run. The
 resulting slices of the UTF-8 buffer are dictionary-encoded, and only slices not met before are
-merged.
+merged. A long text is read in segments that start at a pre-token, so that the arrays beside it stay
+small however long it is.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ OTHER, APOSTROPHE, SPACE, BLANK, NUMBER, LETTER, L_STMD, L_RV, L_E, L_L, BREAK =
 NEW, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_BLANKS, AFTER_SPACE, QUOTE, QUOTE_RV, QUOTE_L, ENDED = range(10)
 STATES, CLASSES = 10, 11
 BLOCK = 64
+#: Bytes of one text whose classes and states are held at once.
+SEGMENT = 1 << 20
 
 
 def _transitions() -> np.ndarray:
@@ -105,17 +108,19 @@ def scan_states(kinds: np.ndarray) -> np.ndarray:
     rows = -(-n // BLOCK)
     padded = np.full(rows * BLOCK, BREAK, dtype=np.uint8)
     padded[:n] = kinds
-    grid = number[padded.reshape(rows, BLOCK).T]
+    grid = np.ascontiguousarray(number.astype(np.uint16)[padded.reshape(rows, BLOCK).T])
     for k in range(1, BLOCK):  # prefix compositions inside every block
-        grid[k] = flat[grid[k - 1] * count + grid[k]]
-    whole, step = grid[-1].copy(), 1
+        grid[k] = flat[grid[k - 1].astype(np.intp) * count + grid[k]]
+    whole, step = grid[-1].astype(np.intp), 1
     while step < rows:  # prefix compositions of the blocks, doubling the reach
         whole[step:] = flat[whole[:-step] * count + whole[step:]]
         step *= 2
     state = np.full(rows, NEW, dtype=np.intp)
     state[1:] = values[whole[:-1], NEW]
-    out = values.ravel()[grid * STATES + state]
-    return out.T.reshape(-1)[:n]
+    out = np.empty((rows, BLOCK), dtype=np.uint8)
+    for k in range(BLOCK):
+        out[:, k] = values.ravel()[grid[k].astype(np.intp) * STATES + state]
+    return out.reshape(-1)[:n]
 
 
 def token_starts(kinds: np.ndarray) -> np.ndarray:
@@ -230,22 +235,20 @@ class Codec:
                 self.known[piece] = found
         return found
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and how many belong to each text."""
-        data = b"".join(texts)
-        if not data:
-            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+    def _cuts(self, data: bytes, sizes: np.ndarray) -> np.ndarray:
+        """The byte at which each pre-token starts; texts of the given sizes are kept apart."""
         codes = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), dtype="<u4")
-        width = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
-        place = np.cumsum(width) - width
+        width = (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF) + np.int8(1)
+        place = np.cumsum(width, dtype=np.int64) - width
         kinds = code_classes()[codes]
-        # texts are kept apart by a BREAK before each
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        # a BREAK goes before each text
         heads = np.cumsum(sizes) - sizes
         at = np.searchsorted(place, heads[sizes > 0])
         starts = token_starts(np.insert(kinds, at, BREAK))
-        starts = np.delete(starts, at + np.arange(len(at)))
-        cuts = place[starts]
+        return place[np.delete(starts, at + np.arange(len(at)))]
+
+    def _merged(self, data: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens that start at ``cuts``, and how many belong to each."""
         offsets = np.append(cuts, len(data)).astype(np.int32)
         slices = pa.BinaryArray.from_buffers(
             pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
@@ -255,8 +258,43 @@ class Codec:
         places = np.cumsum(lengths) - lengths
         index = slices.indices.to_numpy()
         each = lengths[index]
-        out = np.frombuffer(b"".join(ids), dtype="<u4")[spread_ranges(places[index], each)]
+        return np.frombuffer(b"".join(ids), dtype="<u4")[spread_ranges(places[index], each)], each
+
+    def _encode_long(self, text: bytes) -> np.ndarray:
+        """Ids of one text, segment by segment.
+
+        The end of a segment may cut a contraction or a run, which touches its last two pre-tokens
+        at most. These are left to the next segment; no pre-token depends on what is before it.
+        """
+        out, at, reach = [np.zeros(0, "<u4")], 0, SEGMENT
+        while at < len(text):
+            stop = min(at + reach, len(text))
+            while stop < len(text) and text[stop] & 0xC0 == 0x80:
+                stop -= 1
+            part = text[at:stop]
+            cuts = self._cuts(part, np.array([len(part)]))
+            if stop < len(text):
+                if len(cuts) < 3:
+                    reach *= 2
+                    continue
+                part, cuts = part[: cuts[-2]], cuts[:-2]
+            out.append(self._merged(part, cuts)[0])
+            at, reach = at + len(part), SEGMENT
+        return np.concatenate(out)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many belong to each text."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        if sizes.max(initial=0) > SEGMENT:
+            each = [self._encode_long(t) for t in texts]
+            return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+        data = b"".join(texts)
+        if not data:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        cuts = self._cuts(data, sizes)
+        out, each = self._merged(data, cuts)
         upto = np.concatenate([[0], np.cumsum(each)])
+        heads = np.cumsum(sizes) - sizes
         bounds = upto[np.searchsorted(cuts, np.append(heads, len(data)))]
         return out, np.diff(bounds)
 
@@ -269,7 +307,10 @@ class Codec:
         return (place - np.repeat(base, counts)).astype("<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return self.flat[spread_ranges(self.places[ids], self.lengths[ids])].tobytes()
+        return b"".join(
+            self.flat[spread_ranges(self.places[some], self.lengths[some])].tobytes()
+            for some in (ids[at : at + SEGMENT // 4] for at in range(0, len(ids), SEGMENT // 4))
+        )
 
 
 @lru_cache(maxsize=4)
@@ -285,15 +326,17 @@ def _cut_bytes(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     )
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids`` and ``offsets``.
+def encode(docs: DataFrame, path: str, text: str = "text", verify: bool = False) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids`` and ``offsets``; with ``verify`` also ``decodes``.
 
     ``ids`` and ``offsets`` are binary, one little-endian unsigned 32-bit integer per token: its id
     and the byte of the text where it starts. Null and empty texts have no token. Every row is
     encoded by itself, so ties and repeats give equal results; an empty table stays empty. ``path``
-    is a rank file that every worker can open.
+    is a rank file that every worker can open. ``decodes`` says whether the ids, decoded where they
+    were made, are the bytes of the whole text; so neither ids nor texts move for the comparison.
     """
-    columns = [c for c in docs.columns if c not in ("n_tokens", "ids", "offsets")]
+    added = ["n_tokens", "ids", "offsets", *(["decodes"] if verify else [])]
+    columns = [c for c in docs.columns if c not in added]
     # a kept text column is read where it is; a batch does not hold it twice
     kept_text = text in columns and docs.schema[text].dataType.simpleString() in ("string", "binary")
     raw = text if kept_text else unused("raw", columns)
@@ -301,19 +344,18 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches):
         own = codec(path)
         for batch in batches:
-            for part in pieces(batch, raw, 1 << 20):
-                texts = part.column(raw).cast(pa.binary()).to_pylist()
-                ids, counts = own.encode([t or b"" for t in texts])
-                kept = [part.column(i) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(counts), _cut_bytes(ids, counts),
-                     _cut_bytes(own.offsets(ids, counts), counts)],
-                    names=[*columns, "n_tokens", "ids", "offsets"],
-                )
-
-    schema = docs.select(
-        *columns, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit(b"").alias("offsets")
-    ).schema
+            for part in pieces(batch, raw, SEGMENT):
+                texts = [t or b"" for t in part.column(raw).cast(pa.binary()).to_pylist()]
+                ids, counts = own.encode(texts)
+                out = [*(part.column(i) for i in range(len(columns))), pa.array(counts),
+                       _cut_bytes(ids, counts), _cut_bytes(own.offsets(ids, counts), counts)]
+                if verify:
+                    each = np.split(ids, np.cumsum(counts)[:-1])
+                    out.append(pa.array([own.decode(i) == t for i, t in zip(each, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names=[*columns, *added])
+
+    values = {"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b""), "offsets": F.lit(b""), "decodes": F.lit(True)}
+    schema = docs.select(*columns, *[values[c].alias(c) for c in added]).schema
     extra = [] if kept_text else [F.col(text).cast("binary").alias(raw)]
     return docs.select(*columns, *extra).mapInArrow(run, schema)
 

@@ -159,7 +159,7 @@ def test_pack_and_unpack():
     assert len(tokenfile.unpack(*tokenfile.pack(v[:0]), 0)) == 0
 
 
-def test_byte_bpe_is_the_library(odd):
+def test_byte_bpe_is_the_library(odd, monkeypatch):
     import random
 
     import public_tokenizers as public
@@ -175,7 +175,16 @@ def test_byte_bpe_is_the_library(odd):
     for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
         assert part.tolist() == plain.encode_ordinary(text)
         assert own.decode(part) == text.encode()
-    coded = bytebpe.decode(bytebpe.encode(odd, path), path).collect()
+    monkeypatch.setattr(bytebpe, "SEGMENT", 8)  # every longer text is read in segments
+    long = ["".join(texts[i : i + 20]) for i in range(0, 3000, 20)] + [texts[-1], "x" * 50 + " y"]
+    ids, counts = own.encode([t.encode() for t in long])
+    for text, part in zip(long, np.split(ids, np.cumsum(counts)[:-1])):
+        assert part.tolist() == plain.encode_ordinary(text)
+        assert own.decode(part) == text.encode()
+    monkeypatch.undo()
+
+    coded = bytebpe.decode(bytebpe.encode(odd, path, verify=True), path).collect()
+    assert all(r.decodes for r in coded) and len(coded) == odd.count()
     for r in coded:
         assert bytes(r.decoded) == (r.text or "").encode()
         ids, offsets = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.offsets, "<u4")
