@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitwise.functions import scoring as S
+from pitwise.operators.settings import ABOVE_ZERO, SHARE, bounded
 from pitwise.schema import KEY
 from pitwise.session import durable
 
@@ -42,59 +43,104 @@ class EloSettings:
     damping: float = 2.2
 
     def __post_init__(self):
-        if min(self.k, self.scale, self.damping) <= 0:
-            raise ValueError("k, scale and damping must be positive")
-        if not 0.0 <= self.season_carry <= 1.0:
-            raise ValueError("season_carry must lie between 0 and 1")
+        bounded(self, k=ABOVE_ZERO, scale=ABOVE_ZERO, damping=ABOVE_ZERO, season_carry=SHARE)
 
 
 DEFAULT = EloSettings()
 
 
-class Pool:
-    """Current rating, count and season of each team of one unit of work.
+class Ratings:
+    """The teams of one unit of work, each a slot, and batches walked over them.
 
-    Ratings may be floats (one setting) or arrays (one entry per setting of a
-    grid); the arithmetic is the same.
+    What no rating enters (seasons begun, contests played, margins) is worked out for a whole batch
+    at once; only the exchange of points is a loop. A rating may be a float (one setting) or an
+    array (one entry per setting of a grid).
     """
 
-    def __init__(self, s):
-        self.s = s
-        self.rating, self.played, self.season = {}, {}, {}
-
-    def seed(self, team, rating, played, season):
-        self.rating[team], self.played[team], self.season[team] = rating, played, season
-
-    def enter(self, team, season):
-        """A team's rating going into a contest of ``season``."""
-        if team not in self.rating:
-            self.seed(team, self.s.initial, 0, season)
-        elif self.season[team] != season:
-            self.season[team] = season
-            drop = self.rating[team] - self.s.initial
-            self.rating[team] = self.s.initial + self.s.season_carry * drop
-        return self.rating[team]
-
-    def meet(self, season, home, away, home_goals, away_goals):
-        """What both sides brought, then the update if there was a score."""
-        s = self.s
-        rh, ra = self.enter(home, season), self.enter(away, season)
-        edge = rh + s.home_advantage - ra
-        expected = 1.0 / (1.0 + 10.0 ** (-edge / s.scale))
-        brought = (rh, ra, expected, self.played[home], self.played[away])
-        if home_goals is None or away_goals is None:
-            return brought
-        diff = home_goals - away_goals
-        size = abs(diff)
-        weight = 1.0 if size <= 1 else 1.5 if size == 2 else (11.0 + size) / 8.0
-        lead = 0.0 * edge if diff == 0 else edge if diff > 0 else -edge
-        weight = weight * (s.damping / (0.001 * lead + s.damping))
-        actual = 1.0 if diff > 0 else 0.0 if diff < 0 else 0.5
-        change = s.k * weight * (actual - expected)
-        self.rating[home], self.rating[away] = rh + change, ra - change
-        self.played[home] += 1
-        self.played[away] += 1
-        return brought
+    def __init__(self, settings):
+        self.settings = settings
+        self.slots: dict[str, int] = {}
+        self.rating, self.played, self.season = [], [], []
+
+    def slot(self, team: str) -> int:
+        at = self.slots.setdefault(team, len(self.rating))
+        if at == len(self.rating):
+            self.rating.append(self.settings.initial)
+            self.played.append(0)
+            self.season.append(None)
+        return at
+
+    def put(self, team: str, rating: float, played: int, season: str | None) -> None:
+        at = self.slot(team)
+        self.rating[at], self.played[at], self.season[at] = rating, played, season
+
+    def rows(self) -> list[tuple]:
+        """(team, rating, contests played, season last seen) of every team."""
+        return [(t, self.rating[i], self.played[i], self.season[i]) for t, i in self.slots.items()]
+
+    def _appearances(self, seats: np.ndarray, seasons: np.ndarray, scored: np.ndarray):
+        """For each appearance: does a season begin, and how many contests came before it.
+
+        Sides alternate, home first. The table's own seasons and counts move on to the end.
+        """
+        order = np.argsort(seats, kind="stable")
+        seat, label, ran = seats[order], seasons[order], scored[order].astype(np.int64)
+        head = np.flatnonzero(np.append(True, seat[1:] != seat[:-1]))
+        size = np.diff(np.append(head, len(seat)))
+        earlier = np.append([None], label[:-1])
+        earlier[head] = [self.season[s] for s in seat[head]]
+        upto = np.cumsum(ran) - ran
+        known = np.array([self.played[s] for s in seat[head]]) - upto[head]
+        count = upto + np.repeat(known, size)
+        for s, end in zip(seat[head].tolist(), (head + size - 1).tolist()):
+            self.season[s], self.played[s] = label[end], int(count[end] + ran[end])
+        begun, before = np.empty(len(seat), dtype=bool), np.empty(len(seat), dtype=np.int64)
+        begun[order], before[order] = label != earlier, count
+        return begun, before
+
+    def walk(self, games: pd.DataFrame) -> tuple[list, list, list, list, list]:
+        """Columns of what both sides bring to each contest, in the order given.
+
+        ``games`` has season, home, away, home_goals and away_goals. A contest without a score
+        moves no points.
+        """
+        if games.empty:
+            return [], [], [], [], []
+        sides = [[self.slot(t) for t in games[side]] for side in ("home", "away")]
+        margin = (games["home_goals"].astype(float) - games["away_goals"].astype(float)).to_numpy()
+        begun, before = self._appearances(
+            np.column_stack(sides).ravel(),
+            np.repeat(games["season"].to_numpy(dtype=object), 2),
+            np.repeat(~np.isnan(margin), 2),
+        )
+        by, sign = np.abs(margin), np.sign(margin)
+        # the margin's factor: 1, 1.5 for two goals, then an eighth more for each
+        factor = np.select([by < 2, by < 3], [1.0, 1.5], (11.0 + by) / 8.0).tolist()
+        s, rating = self.settings, self.rating
+        brought: tuple[list, list, list] = ([], [], [])
+        for h, a, new_h, new_a, way, f in zip(
+            *sides, begun[::2].tolist(), begun[1::2].tolist(), sign.tolist(), factor, strict=True
+        ):
+            for at, new in ((h, new_h), (a, new_a)):
+                if new:
+                    rating[at] = s.initial + s.season_carry * (rating[at] - s.initial)
+            ahead = rating[h] + s.home_advantage - rating[a]
+            expected = 1.0 / (1.0 + 10.0 ** (-ahead / s.scale))
+            for column, value in zip(brought, (rating[h], rating[a], expected)):
+                column.append(value)
+            if way == way:  # there was a score
+                points = s.k * f * s.damping / (s.damping + 0.001 * way * ahead) * ((1 + way) / 2 - expected)
+                rating[h], rating[a] = rating[h] + points, rating[a] - points
+        return *brought, before[::2].tolist(), before[1::2].tolist()
+
+
+def by_unit(batch: pd.DataFrame, column: str) -> Iterator[tuple[str, pd.DataFrame]]:
+    """The consecutive runs of one unit within a sorted batch."""
+    units = batch[column].to_numpy()
+    cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
+    for start, stop in itertools.pairwise(cuts):
+        if stop > start:
+            yield units[start], batch.iloc[start:stop]
 
 
 _INPUT = (
@@ -137,33 +183,33 @@ def _walk(settings: EloSettings):
     a unit its state is emitted as rows of their own kind.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, pool_name, pool = None, None, None
-
-        def state():
-            return [
-                ("state", pool_name, None, pool.season[t], t, r, None, None, pool.played[t], None)
-                for t, r in pool.rating.items()
-            ]
+    def state(pool_name: str, teams: Ratings) -> list[tuple]:
+        return [
+            ("state", pool_name, None, season, team, rating, None, None, played, None)
+            for team, rating, played, season in teams.rows()
+        ]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, pool_name, teams = None, None, Ratings(settings)
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                if r.unit != unit:
-                    if pool is not None:
-                        out.extend(state())
-                    unit, pool_name, pool = r.unit, r.pool, Pool(settings)
-                if r.match_id is None:
-                    pool.seed(r.home, float(r.seed_rating), int(r.seed_played), r.season)
-                    continue
-                hg = None if pd.isna(r.home_goals) else int(r.home_goals)
-                ag = None if pd.isna(r.away_goals) else int(r.away_goals)
-                brought = pool.meet(r.season, r.home, r.away, hg, ag)
-                out.append(("match", r.pool, r.match_id, r.season, None, *brought))
+            for name, part in by_unit(batch, "unit"):
+                if name != unit:
+                    out.extend(state(pool_name, teams))
+                    unit, pool_name, teams = name, part["pool"].iloc[0], Ratings(settings)
+                seeded = part[KEY].isna()
+                seeds = part.loc[seeded, ["home", "seed_rating", "seed_played", "season"]]
+                for team, rating, played, season in seeds.itertuples(index=False):
+                    teams.put(team, float(rating), int(played), season)
+                games = part[~seeded]
+                n = len(games)
+                out.extend(zip(
+                    ["match"] * n, games["pool"], games[KEY], games["season"], [None] * n, *teams.walk(games)
+                ))
             if out:
                 yield pd.DataFrame(out, columns=_OUT_NAMES)
-        if pool is not None and pool.rating:
-            yield pd.DataFrame(state(), columns=_OUT_NAMES)
+        if teams.slots:
+            yield pd.DataFrame(state(pool_name, teams), columns=_OUT_NAMES)
 
     return run
 
@@ -377,19 +423,18 @@ def grid_search(
     grid = _Grid(ks, hs, cs, base.initial, base.scale, base.damping)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, pool = None, None
+        unit, teams = None, Ratings(grid)
         total, n = np.zeros(len(combos)), 0
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                if r.pool != unit:
-                    unit, pool = r.pool, Pool(grid)
-                hg = None if pd.isna(r.home_goals) else int(r.home_goals)
-                ag = None if pd.isna(r.away_goals) else int(r.away_goals)
-                expected = pool.meet(r.season, r.home, r.away, hg, ag)[2]
-                scored = hg is not None and ag is not None
-                actual = 0.5 if not scored or hg == ag else float(hg > ag)
-                total += (expected - actual) ** 2
-                n += 1
+            for name, games in by_unit(batch, "pool"):
+                if name != unit:
+                    unit, teams = name, Ratings(grid)
+                expected = teams.walk(games)[2]
+                gap = (games["home_goals"].astype(float) - games["away_goals"].astype(float)).to_numpy()
+                actual = (1 + np.nan_to_num(np.sign(gap))) / 2
+                for chance, happened in zip(expected, actual.tolist(), strict=True):
+                    total += (chance - happened) ** 2
+                n += len(games)
         yield pd.DataFrame(
             {"k": ks, "home_advantage": hs, "season_carry": cs, "sse": total, "n": n}
         )

@@ -109,27 +109,27 @@ def _book() -> Column:
 def match_checks() -> tuple[Check, ...]:
     return (
         Check(
-            "core columns are never null",
+            "core_not_null",
             F.count_if(F.greatest(*[F.col(c).isNull() for c in CORE_COLUMNS])),
             _positive,
         ),
         Check(
-            "no team plays itself",
+            "no_self_play",
             F.count_if(F.col("home_team_id") == F.col("away_team_id")),
             _positive,
         ),
         Check(
-            "the stated result agrees with the score",
+            "result_matches_score",
             F.count_if(~outcome(F.col("home_goals"), F.col("away_goals")).eqNullSafe(F.col("result"))),
             _positive,
         ),
         Check(
-            "result values are H, D or A",
+            "result_domain",
             F.count_if(~F.col("result").isin(*CLASSES)),
             _positive,
         ),
         Check(
-            "goals are within plausible bounds",
+            "goal_range",
             F.count_if(
                 F.least("home_goals", "away_goals").isNotNull()
                 & ((F.least("home_goals", "away_goals") < 0)
@@ -138,7 +138,7 @@ def match_checks() -> tuple[Check, ...]:
             _positive,
         ),
         Check(
-            "the half-time score never exceeds full-time",
+            "half_time_within_full_time",
             F.count_if(
                 F.col("ht_home_goals").isNotNull()
                 & F.col("ht_away_goals").isNotNull()
@@ -152,18 +152,18 @@ def match_checks() -> tuple[Check, ...]:
             _positive,
         ),
         Check(
-            "shots on target never exceed shots",
+            "on_target_within_shots",
             F.count_if(F.col("home_shots_on_target") > F.col("home_shots"))
             + F.count_if(F.col("away_shots_on_target") > F.col("away_shots")),
             _positive,
         ),
         Check(
-            "season labels are canonical",
+            "season_label_form",
             F.count_if(~X.is_season_label(F.col("season"))),
             _positive,
         ),
         Check(
-            "team ids carry their competition's country",
+            "team_country_prefix",
             sum(
                 (
                     F.count_if(
@@ -177,24 +177,24 @@ def match_checks() -> tuple[Check, ...]:
             _positive,
         ),
         Check(
-            "the home win rate is plausible",
+            "home_win_share",
             F.avg(F.when(F.col("result") == "H", 1.0).otherwise(0.0)),
             _outside(*HOME_WIN),
             min_rows=5000,
         ),
         Check(
-            "the draw rate is plausible",
+            "draw_share",
             F.avg(F.when(F.col("result") == "D", 1.0).otherwise(0.0)),
             _outside(*DRAW),
             min_rows=5000,
         ),
         Check(
-            "prices are above one",
+            "price_floor",
             F.count_if(F.least(*ODDS_COLUMNS) <= 1.0),
             _positive,
             min_rows=1000,
         ),
-        Check("prices imply a real book", F.min(_book()), lambda v: v < MIN_BOOK, min_rows=1000),
+        Check("book_floor", F.min(_book()), lambda v: v < MIN_BOOK, min_rows=1000),
     )
 
 
@@ -205,9 +205,9 @@ def schema_checks(df: DataFrame, schema=MATCH_SCHEMA) -> list[tuple[str, bool]]:
     same_types = all(types[f.name] == f.dataType for f in df.schema.fields if f.name in types)
     classified = not (PRE_MATCH & POST_MATCH) and set(df.columns) <= (PRE_MATCH | POST_MATCH)
     return [
-        ("columns are exactly the canonical schema, in order", df.columns == names),
-        ("types are the canonical types", same_types),
-        ("every column is classified as pre-match or post-match", classified),
+        ("column_order", df.columns == names),
+        ("column_types", same_types),
+        ("column_known_side", classified),
     ]
 
 
@@ -331,15 +331,15 @@ def check_matches(matches: DataFrame, registry: DataFrame | None = None) -> Data
     single = F.avg(F.when(F.col("seasons") == 1, 1.0).otherwise(0.0))
     parts = [
         schema_report(matches),
-        _single(repeated_ids(matches), _n("match ids are unique"), matches),
+        _single(repeated_ids(matches), _n("unique_match_id"), matches),
         run(matches, match_checks()),
         _single(
-            duplicate_fixtures(matches), _n("no fixture appears in two competitions"), matches
+            duplicate_fixtures(matches), _n("one_competition_per_fixture"), matches
         ),
         _single(
             spark.createDataFrame([(median,)], "m double"),
             Check(
-                "the median book is plausible",
+                "median_book_range",
                 F.max("m"),
                 lambda v: (v <= MEDIAN_BOOK[0]) | (v >= MEDIAN_BOOK[1]),
                 min_rows=1000,
@@ -349,7 +349,7 @@ def check_matches(matches: DataFrame, registry: DataFrame | None = None) -> Data
         _single(
             teams,
             Check(
-                "no team appears in only one season",
+                "single_season_share",
                 single,
                 lambda v: v > MAX_SINGLE_SEASON,
                 "warning",
@@ -368,17 +368,17 @@ def check_matches(matches: DataFrame, registry: DataFrame | None = None) -> Data
         )
         parts += [
             _single(
-                unregistered(matches, registry), _n("every competition is registered"), matches
+                unregistered(matches, registry), _n("competition_registered"), matches
             ),
             _single(
                 metadata_drift(matches, registry),
-                _n("competition metadata agrees with the registry"),
+                _n("registry_metadata"),
                 matches,
             ),
             _single(
                 outside_season(matches),
                 Check(
-                    "matches fall inside the season they are labelled with",
+                    "date_in_season",
                     F.coalesce(F.sum("rows"), F.lit(0)),
                     _positive,
                     "warning",
@@ -388,7 +388,7 @@ def check_matches(matches: DataFrame, registry: DataFrame | None = None) -> Data
             _single(
                 recent,
                 Check(
-                    "recent matches carry the statistics their feed promises",
+                    "recent_statistics",
                     supplied,
                     lambda v: v < RECENT_FLOOR,
                     min_rows=5000,
@@ -398,7 +398,7 @@ def check_matches(matches: DataFrame, registry: DataFrame | None = None) -> Data
             _single(
                 thin_competitions(matches),
                 _n(
-                    "every competition has enough history to model",
+                    "competition_history_length",
                     severity="warning",
                     min_rows=5000,
                 ),
@@ -419,29 +419,29 @@ def rating_checks() -> tuple[Check, ...]:
     total = F.col(GOAL_PROBS[0]) + F.col(GOAL_PROBS[1]) + F.col(GOAL_PROBS[2])
     present = sum((F.col(c).isNotNull().cast("int") for c in GOAL_COLUMNS), F.lit(0))
     return (
-        Check("elo is always available", _any_null(ELO_COLUMNS), _positive),
+        Check("elo_present", _any_null(ELO_COLUMNS), _positive),
         Check(
-            "the expected score is a score",
+            "expected_score_range",
             F.count_if((F.col("elo_expected_home") <= 0.0) | (F.col("elo_expected_home") >= 1.0)),
             _positive,
         ),
         Check(
-            "goal-model probabilities sum to one",
+            "goal_probs_total",
             F.max(F.abs(total - 1.0)),
             lambda v: v >= SUM_TOLERANCE,
         ),
         Check(
-            "goal-model probabilities are probabilities",
+            "goal_probs_range",
             F.count_if((F.least(*GOAL_PROBS) <= 0.0) | (F.greatest(*GOAL_PROBS) >= 1.0)),
             _positive,
         ),
         Check(
-            "expected goals are positive",
+            "expected_goals_sign",
             F.count_if(F.least("dc_home_lambda", "dc_away_lambda") <= 0.0),
             _positive,
         ),
         Check(
-            "a goal-model row is all or nothing",
+            "goal_columns_together",
             F.count_if((present > 0) & (present < len(GOAL_COLUMNS))),
             _positive,
         ),
@@ -450,7 +450,7 @@ def rating_checks() -> tuple[Check, ...]:
 
 def goal_coverage_check() -> Check:
     return Check(
-        "the goal model prices most matches",
+        "goal_model_coverage",
         F.avg(F.col("dc_prob_home").isNotNull().cast("double")),
         lambda v: v < MIN_GOAL_COVERAGE,
         "warning",
@@ -462,10 +462,10 @@ def _key_checks(table: DataFrame, matches: DataFrame) -> DataFrame:
     return pairs.select(
         F.inline(
             F.array(
-                Check("every row has a match and every match a row", F.lit(0), _positive).row(
+                Check("keys_agree", F.lit(0), _positive).row(
                     F.col("missing") + F.col("extra"), F.lit(1)
                 ),
-                Check("match ids are unique", F.lit(0), _positive).row(
+                Check("unique_match_id", F.lit(0), _positive).row(
                     F.col("repeated"), F.lit(1)
                 ),
             )
@@ -536,17 +536,17 @@ def feature_checks(built: Sequence[str] = FEATURE_COLUMNS) -> list[Check]:
     ]
     busy = beyond(("home_matches_14d", "away_matches_14d"), MAX_FORTNIGHT)
     out = [
-        Check("no feature has a value before there is history", count(gated), _positive),
-        Check("counts are never null and never negative", count(counts), _positive),
-        Check("points per game never exceed three", count(beyond(_POINTS, MAX_POINTS)), _positive),
-        Check("goal rates are plausible", count(beyond(_GOAL_RATES, MAX_GOAL_RATE)), _positive),
-        Check("rest is at least one whole day", count(rest), _positive),
-        Check("fortnight congestion is possible", count(busy), _positive),
+        Check("no_value_without_history", count(gated), _positive),
+        Check("count_sign", count(counts), _positive),
+        Check("points_range", count(beyond(_POINTS, MAX_POINTS)), _positive),
+        Check("goal_rate_range", count(beyond(_GOAL_RATES, MAX_GOAL_RATE)), _positive),
+        Check("rest_minimum", count(rest), _positive),
+        Check("fortnight_range", count(busy), _positive),
     ]
     if "home_form_points_5" in have:
         out.append(
             Check(
-                "most matches have a form figure",
+                "form_coverage",
                 F.avg(F.col("home_form_points_5").isNotNull().cast("double")),
                 lambda v: v < MIN_FORM_COVERAGE,
                 "warning",
@@ -564,7 +564,7 @@ def check_features(
     ok = sorted(want, key=str) == sorted(
         ((f.name, f.dataType) for f in features.schema.fields), key=str
     )
-    name = "the table is exactly the registered features"
+    name = "feature_schema"
     schema_row = features.sparkSession.createDataFrame(
         [(name, "error", "passed" if ok else "failed", 0.0 if ok else 1.0)],
         "check string, severity string, outcome string, value double",

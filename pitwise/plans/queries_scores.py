@@ -630,69 +630,69 @@ def _check_sql(name, value, failed, severity="error", min_rows=0):
 _BOOK = "1 / odds_home + 1 / odds_draw + 1 / odds_away"
 _ROW_CHECKS = " UNION ALL ".join(
     [
-        _check_sql("core columns are never null", f"count(*) FILTER ({_CORE_NULLS})", "{v} > 0"),
+        _check_sql("core_not_null", f"count(*) FILTER ({_CORE_NULLS})", "{v} > 0"),
         _check_sql(
-            "no team plays itself", "count(*) FILTER (home_team_id = away_team_id)", "{v} > 0"
+            "no_self_play", "count(*) FILTER (home_team_id = away_team_id)", "{v} > 0"
         ),
         _check_sql(
-            "the stated result agrees with the score",
+            "result_matches_score",
             "count(*) FILTER (result <> CASE WHEN home_goals > away_goals THEN 'H' "
             "WHEN home_goals < away_goals THEN 'A' ELSE 'D' END)",
             "{v} > 0",
         ),
         _check_sql(
-            "result values are H, D or A",
+            "result_domain",
             "count(*) FILTER (result NOT IN ('H', 'D', 'A'))",
             "{v} > 0",
         ),
         _check_sql(
-            "goals are within plausible bounds",
+            "goal_range",
             "count(*) FILTER (least(home_goals, away_goals) < 0 "
             "OR greatest(home_goals, away_goals) > 15)",
             "{v} > 0",
         ),
         _check_sql(
-            "the half-time score never exceeds full-time",
+            "half_time_within_full_time",
             "count(*) FILTER (ht_home_goals > home_goals) "
             "+ count(*) FILTER (ht_away_goals > away_goals)",
             "{v} > 0",
         ),
         _check_sql(
-            "shots on target never exceed shots",
+            "on_target_within_shots",
             "count(*) FILTER (home_shots_on_target > home_shots) "
             "+ count(*) FILTER (away_shots_on_target > away_shots)",
             "{v} > 0",
         ),
         _check_sql(
-            "season labels are canonical",
+            "season_label_form",
             "count(*) FILTER (NOT regexp_full_match(season, '\\d{4}(-\\d{2})?'))",
             "{v} > 0",
         ),
         _check_sql(
-            "team ids carry their competition''s country",
+            "team_country_prefix",
             "count(*) FILTER (split_part(home_team_id, ':', 1) <> lower(country)) "
             "+ count(*) FILTER (split_part(away_team_id, ':', 1) <> lower(country))",
             "{v} > 0",
         ),
         _check_sql(
-            "the home win rate is plausible",
+            "home_win_share",
             "avg(CASE WHEN result = 'H' THEN 1.0 ELSE 0.0 END)",
             "{v} < 0.40 OR {v} > 0.52",
             min_rows=5000,
         ),
         _check_sql(
-            "the draw rate is plausible",
+            "draw_share",
             "avg(CASE WHEN result = 'D' THEN 1.0 ELSE 0.0 END)",
             "{v} < 0.20 OR {v} > 0.32",
             min_rows=5000,
         ),
         _check_sql(
-            "prices are above one",
+            "price_floor",
             "count(*) FILTER (least(odds_home, odds_draw, odds_away) <= 1)",
             "{v} > 0",
             min_rows=1000,
         ),
-        _check_sql("prices imply a real book", f"min({_BOOK})", "{v} < 0.99", min_rows=1000),
+        _check_sql("book_floor", f"min({_BOOK})", "{v} < 0.99", min_rows=1000),
     ]
 )
 

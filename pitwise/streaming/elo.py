@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pitwise.operators.elo import DEFAULT, EloSettings, Pool, pool_of
+from pitwise.operators.elo import DEFAULT, EloSettings, Ratings, pool_of
 from pitwise.schema import KEY
 
 _STATE = (
@@ -34,26 +34,15 @@ def rate_stream(matches: DataFrame, settings: EloSettings = DEFAULT) -> DataFram
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        pool = Pool(settings)
+        teams = Ratings(settings)
         if state.exists:
-            for entry in zip(*state.get, strict=True):
-                pool.seed(*entry)
+            for team, rating, played, season in zip(*state.get, strict=True):
+                teams.put(team, rating, played, season)
         rows = pd.concat(list(batches)).sort_values(["date", "competition_id", KEY])
-        out = []
-        for r in rows.itertuples(index=False):
-            hg = None if pd.isna(r.home_goals) else int(r.home_goals)
-            ag = None if pd.isna(r.away_goals) else int(r.away_goals)
-            brought = pool.meet(r.season, r.home_team_id, r.away_team_id, hg, ag)
-            out.append((r.match_id, *brought))
-        teams = list(pool.rating)
-        state.update(
-            (
-                teams,
-                [float(pool.rating[t]) for t in teams],
-                [int(pool.played[t]) for t in teams],
-                [pool.season[t] for t in teams],
-            )
-        )
+        games = rows.rename(columns={"home_team_id": "home", "away_team_id": "away"})
+        out = dict(zip(names, [games[KEY].tolist(), *teams.walk(games)], strict=True))
+        held = list(zip(*teams.rows(), strict=True)) or [(), (), (), ()]
+        state.update(tuple(list(column) for column in held))
         yield pd.DataFrame(out, columns=names)
 
     columns = (
