@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
-from pitwise.operators import elo, features, goals, history, probes, quality
+from pitwise.operators import elo, features, folds, goals, history, probes, quality
 from pitwise.functions.scoring import points
 from pitwise.operators import windows as W
-from pitwise.plans import builds
+from pitwise.plans import builds, rating_sql
 from pitwise.plans.contests import WITH_CONTESTS, contests, split_upcoming, table
 from pitwise.plans.registry import query, tidy
 from pitwise.schema import FEATURES, KEY, ODDS_COLUMNS
@@ -199,7 +201,7 @@ def feature_coverage(spark, sf_dir):
 # ---- ratings ---------------------------------------------------------------------
 
 
-@query("elo_ratings")
+@query("elo_ratings", rating_sql.RATINGS)
 def elo_ratings(spark, sf_dir):
     return tidy(elo.rate(contests(spark, sf_dir)))
 
@@ -237,15 +239,23 @@ def elo_zero_sum(spark, sf_dir):
     )
 
 
-@query("elo_mean_squared_error")
+@query("elo_mean_squared_error", rating_sql.SQUARED_ERROR)
 def elo_mean_squared_error(spark, sf_dir):
     m = contests(spark, sf_dir)
     return tidy(elo.squared_error(elo.rate(m), m))
 
 
-@query("elo_grid_search")
+@query(
+    "elo_grid_search",
+    rating_sql.grid_error(
+        list(itertools.product(elo.K_GRID, elo.HOME_GRID, elo.CARRY_GRID)),
+        "date < (SELECT max(date) + 1 - 365 * 5 FROM contests)",
+    ),
+)
 def elo_grid_search(spark, sf_dir):
-    return tidy(elo.grid_search(contests(spark, sf_dir)))
+    """Every setting scored on the contests before the first evaluated date."""
+    m = contests(spark, sf_dir)
+    return tidy(elo.grid_search(folds.tuning_slice(m, folds.walk_forward(m))))
 
 
 @query("goal_model_ratings")
@@ -356,9 +366,7 @@ def probe_planted_leak(spark, sf_dir):
 @query("probe_observed_reads_elo")
 def probe_observed_reads_elo(spark, sf_dir):
     m = durable(probes.sample_competition(contests(spark, sf_dir)), "sample")
-    return probes.observed_reads(
-        _elo, m, ["season", "home_goals", "away_goals", "home_shots", *ODDS_COLUMNS]
-    )
+    return probes.observed_reads(_elo, m, m.columns)
 
 
 @query(
@@ -371,12 +379,10 @@ def probe_observed_reads_elo(spark, sf_dir):
       CAST(0 AS BIGINT) AS shared, TRUE AS ok FROM f""",
 )
 def probe_split_boundaries(spark, sf_dir):
-    from pitwise.operators import folds as FD
-
     m = contests(spark, sf_dir)
     parts = [
         probes.split_boundary(f.train(m), f.evaluate(m)).select(F.lit(f.index).alias("fold"), "*")
-        for f in FD.walk_forward(m)
+        for f in folds.walk_forward(m)
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -398,7 +404,12 @@ def leakage_audit(spark, sf_dir):
     )
 
 
-@query("systematic_sample")
+@query(
+    "systematic_sample",
+    f"""{WITH_CONTESTS}, t AS (SELECT greatest(CAST(ceil(count(*) / 1000.0) AS BIGINT), 1) AS step FROM contests)
+    SELECT match_id, date FROM contests, t
+    WHERE CAST('0x' || substr(md5(match_id), 1, 15) AS BIGINT) % step = 0""",
+)
 def systematic_sample(spark, sf_dir):
     m = contests(spark, sf_dir)
     return history.systematic_sample(m, 1000, m.count()).select(KEY, "date")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitwise.operators import elo
+from pitwise.plans import rating_sql
 from pitwise.plans.contests import WITH_CONTESTS, contests, table
 from pitwise.plans.registry import query, tidy
 from pitwise.schema import KEY
@@ -33,7 +34,7 @@ def _land(df, by):
     return root
 
 
-@query("stream_elo_ratings")
+@query("stream_elo_ratings", rating_sql.RATINGS)
 def stream_elo_ratings(spark, sf_dir):
     """Ratings of a stream of years; equal to the batch walk."""
     m = contests(spark, sf_dir)
