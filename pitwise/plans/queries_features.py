@@ -12,7 +12,7 @@ from pitwise.operators import windows as W
 from pitwise.plans import builds, rating_sql
 from pitwise.plans.contests import WITH_CONTESTS, contests, split_upcoming, table
 from pitwise.plans.registry import query, tidy
-from pitwise.schema import FEATURES, KEY, ODDS_COLUMNS
+from pitwise.schema import ELO_COLUMNS, FEATURES, GOAL_COLUMNS, KEY, POST_MATCH, RATING_READS
 from pitwise.session import durable
 
 _SIDES = f"""{WITH_CONTESTS}, long AS (
@@ -363,8 +363,31 @@ def probe_planted_leak(spark, sf_dir):
     return found.groupBy("column").agg((F.sum("moved") > 0).alias("caught"))
 
 
-@query("probe_observed_reads_elo")
+# What a rewrite within one competition must move, column by column.
+_WHO_WHEN = ("away_team_id", "date", "home_team_id")
+_SCORE = ("away_goals", "home_goals")
+
+
+def _moved_by(column: str) -> tuple[str, ...]:
+    if column in ELO_COLUMNS:
+        return _WHO_WHEN if column.endswith("_played") else tuple(sorted((*_WHO_WHEN, *_SCORE, "season")))
+    if column in GOAL_COLUMNS:
+        return tuple(sorted((*_WHO_WHEN, *_SCORE)))
+    reads = next(f.reads for f in FEATURES if f.name == column) - {KEY}
+    if "_venue_" in column:  # a side's record at its own venue
+        reads -= {"away_team_id" if column.startswith("home") else "home_team_id"}
+    return tuple(sorted(reads))
+
+
+_ELO_READS = ", ".join(f"('{i}', '{c}')" for c in ELO_COLUMNS for i in _moved_by(c))
+
+
+@query(
+    "probe_observed_reads_elo",
+    f'SELECT col0 AS input, col1 AS "column" FROM (VALUES {_ELO_READS}) AS v(col0, col1)',
+)
 def probe_observed_reads_elo(spark, sf_dir):
+    """Every column rewritten in turn: which of them the ratings of one competition move with."""
     m = durable(probes.sample_competition(contests(spark, sf_dir)), "sample")
     return probes.observed_reads(_elo, m, m.columns)
 
@@ -390,18 +413,41 @@ def probe_split_boundaries(spark, sf_dir):
     return out
 
 
-@query("leakage_audit")
+def _producers():
+    """The four producers, each with its outputs' declared reads."""
+    declared = {f.name: f.reads for f in FEATURES}
+    h2h = {n: r for n, r in declared.items() if n.startswith("h2h")}
+    return {
+        "team_history": (_team_history, {n: r for n, r in declared.items() if n not in h2h}),
+        "head_to_head": (_h2h, h2h),
+        "elo": (_elo, {c: RATING_READS[c] for c in ELO_COLUMNS}),
+        "goals": (goals.rate, {c: RATING_READS[c] for c in GOAL_COLUMNS}),
+    }
+
+
+def _audited():
+    for name, (_, outputs) in _producers().items():
+        for column, reads in outputs.items():
+            seen = _moved_by(column)
+            yield name, column, *(
+                ",".join(sorted(part)) for part in (seen, reads, POST_MATCH & set(seen), set(seen) - reads)
+            )
+
+
+_AUDIT_ROWS = ", ".join(f"({', '.join(repr(v) for v in row)})" for row in _audited())
+
+
+@query(
+    "leakage_audit",
+    f"""SELECT producer, "column", observed, declared, post_match, understated, FALSE AS benchmark_leak
+    FROM (VALUES {_AUDIT_ROWS}) AS v(producer, "column", observed, declared, post_match, understated)""",
+)
 def leakage_audit(spark, sf_dir):
-    """Observed against declared reads of every feature, on one competition's rows."""
+    """Observed against declared reads of every derived column, on one competition's rows."""
     m = durable(probes.sample_competition(contests(spark, sf_dir)), "sample")
-    declared = {f.name: f.reads for f in FEATURES}
-    first = {n: r for n, r in declared.items() if not n.startswith("h2h")}
-    second = {n: r for n, r in declared.items() if n.startswith("h2h")}
-    return probes.audit(
-        {"team_history": (_team_history, first), "head_to_head": (_h2h, second)},
-        m,
-        ["date", "home_goals", "home_shots", "odds_home", "referee"],
-    )
+    found = probes.audit(_producers(), m, m.columns, {"goals": 1e-6})
+    lists = ("observed", "declared", "post_match", "understated")
+    return found.withColumns({c: F.array_join(F.array_sort(c), ",") for c in lists})
 
 
 @query(

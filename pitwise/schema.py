@@ -159,6 +159,12 @@ FEATURES: tuple[Feature, ...] = (
 FEATURE_COLUMNS = tuple(f.name for f in FEATURES)
 FEATURE_SCHEMA = _struct([(KEY, _S), *[(f.name, f.dtype) for f in FEATURES]])
 
+# What each rating column may read.
+RATING_READS: dict[str, frozenset] = {
+    **{c: _ID | _GOALS | {"competition_id", "season"} for c in ELO_COLUMNS},
+    **{c: _ID | _GOALS | {"competition_id"} for c in GOAL_COLUMNS},
+}
+
 # Design matrix blocks, in order: ten rating columns, then the twenty features.
 BLOCKS: dict[str, tuple[str, ...]] = {
     "elo": ELO_COLUMNS,
