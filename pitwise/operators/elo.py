@@ -5,8 +5,7 @@ the walk is sequential. Three things keep it within bounds at any size:
 
 * rows reach the walk as a *sorted partition* read batch by batch; nothing
   gathers a country's rows, only the current rating of each team is held;
-* when the largest country is too long for one task, the calendar is cut into
-  blocks. Each block is one job whose final ratings are written to a table and
+* the calendar is cut into blocks in which the largest country fits a task. Each block is one job whose final ratings are written to a table and
   seed the next, so a lost executor repeats one block and not the history;
 * a block whose largest country is still too long is split into the groups of
   teams that met within it. Groups that never met cannot influence each other,
@@ -19,6 +18,7 @@ import datetime as dt
 import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -325,43 +325,41 @@ def _split_units(rows: DataFrame) -> DataFrame:
     return tagged.withColumn("unit", F.coalesce("group", "home")).drop("group")
 
 
-def rate(
-    matches: DataFrame,
-    settings: EloSettings = DEFAULT,
-    max_rows_per_task: int = MAX_ROWS_PER_TASK,
-) -> DataFrame:
-    """Ratings every contest was played from, before its own result.
-
-    With every country under the limit this is one lazy job. Otherwise the
-    history runs block by block, each one written to the shared folder.
-    """
+def _walked(matches: DataFrame, settings: EloSettings, max_rows_per_task: int) -> list[DataFrame]:
+    """The walked blocks in calendar order, each written to the shared folder before the next starts."""
     rows = _rows(matches)
-    blocks = plan_blocks(rows, max_rows_per_task)
-    if len(blocks) == 1 and not blocks[0][2]:
-        return _ratings(_run_block(rows, settings))
-    parts, carried = [], None
-    for start, end, oversized in blocks:
+    parts: list[DataFrame] = []
+    for start, end, oversized in plan_blocks(rows, max_rows_per_task):
         block = rows
         if start is not None:
             block = block.filter(F.col("date") >= F.lit(start))
         if end is not None:
             block = block.filter(F.col("date") < F.lit(end))
-        if carried is not None:
-            block = block.unionByName(_seeds(carried))
+        if parts:
+            block = block.unionByName(_seeds(parts[-1]))
         unit = None
         if oversized:
             block, unit = _split_units(block), F.col("unit")
-        carried = durable(_run_block(block, settings, unit), "elo-block")
-        parts.append(_ratings(carried))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        parts.append(durable(_run_block(block, settings, unit), "elo-block"))
+    return parts
+
+
+def rate(
+    matches: DataFrame,
+    settings: EloSettings = DEFAULT,
+    max_rows_per_task: int = MAX_ROWS_PER_TASK,
+) -> DataFrame:
+    """Ratings every contest was played from, before its own result."""
+    return reduce(DataFrame.unionByName, map(_ratings, _walked(matches, settings, max_rows_per_task)))
 
 
-def final_state(matches: DataFrame, settings: EloSettings = DEFAULT) -> DataFrame:
+def final_state(
+    matches: DataFrame,
+    settings: EloSettings = DEFAULT,
+    max_rows_per_task: int = MAX_ROWS_PER_TASK,
+) -> DataFrame:
     """Every team's rating after its last contest: what a resumed walk starts from."""
-    walked = _run_block(_rows(matches), settings)
+    walked = _walked(matches, settings, max_rows_per_task)[-1]  # teams that rest are carried along
     return walked.filter(F.col("kind") == "state").select(
         "pool",
         "team",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pitwise.functions import scoring as S
 from pitwise.operators import evaluate as EV
 from pitwise.operators.folds import Fold
+from pitwise.operators.quantiles import exact_quantiles
 from pitwise.schema import (
     BLOCKS,
     CLASSES,
@@ -70,22 +71,17 @@ class Family:
     def fit(self, train: DataFrame) -> "Fitted":
         """Fit on the rows that have an outcome.
 
-        One aggregate gives the row count and every median; filling gaps is a
-        projection, so the matrix is never materialised outside Spark ML.
+        Gaps are filled with exact medians, all found together; filling is a projection, so the
+        matrix is never materialised outside Spark ML.
         """
         require_columns(train, self.columns)
         rows = train.filter(F.col(TARGET).isin(*CLASSES))
-        stats = rows.agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c)
-              for c in self.columns],
-        ).first()
-        if not stats["_n"]:
+        n, width = rows.count(), len(self.columns)
+        if not n:
             raise ValueError("nothing to train on")
+        middle = {c: 0.0 if m is None else m for c, m in exact_quantiles(rows, self.columns).items()}
         fill = ", ".join(
-            f"CAST(coalesce(`{c}`, {float(stats[c]) if stats[c] is not None else 0.0!r}) "
-            f"AS DOUBLE) AS `_x_{c}`"
-            for c in self.columns
+            f"CAST(coalesce(`{c}`, {middle[c]!r}) AS DOUBLE) AS `_x_{c}`" for c in self.columns
         )
         prepare = [
             SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"),
@@ -95,7 +91,6 @@ class Family:
         labelled = rows.withColumn("_label", target())
         shared = Pipeline(stages=prepare).fit(labelled)
         ready = shared.transform(labelled).select("_features", "_label")
-        n, width = stats["_n"], len(self.columns)
         if not self.one_vs_rest:
             (stage,) = self.estimator(n, width)
             model = stage.fit(ready)

@@ -3,64 +3,85 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitwise.session import durable
 
-_BUCKETS = 1024
+_BUCKETS = 256
 
 
-def _kth(counts: DataFrame, rank: int, low: float, high: float) -> float:
-    """The value at zero-based ``rank``, by narrowing the interval that holds it.
+def _at_ranks(counts: DataFrame, wanted: dict[tuple[str, int], tuple[float, float]]) -> dict:
+    """The value of each ``(column, zero-based rank)``, by narrowing the interval that holds it.
 
-    Each round is one aggregate into at most 1,024 buckets of the current
-    interval. It ends when the bucket holding the rank has a single value.
+    ``wanted`` gives each its first interval. A round is one aggregate into at most 256 buckets per
+    open interval; an interval closes when the bucket holding its rank has a single value.
     """
-    before = 0
-    while low < high:
-        width = high - low
-        inside = counts.filter((F.col("value") >= low) & (F.col("value") <= high))
-        bucket = F.least(
-            F.floor((F.col("value") - F.lit(low)) / F.lit(width) * _BUCKETS), F.lit(_BUCKETS - 1)
-        )
-        rows = (
-            inside.groupBy(bucket.alias("bucket"))
+    found, ranges = {}, {key: (0, low, high) for key, (low, high) in wanted.items()}
+    while True:
+        found.update({key: low for key, (_, low, high) in ranges.items() if low >= high})
+        ranges = {key: r for key, r in ranges.items() if key not in found}
+        if not ranges:
+            return found
+        rows = [(column, rank, low, high) for (column, rank), (_, low, high) in ranges.items()]
+        spans = counts.sparkSession.createDataFrame(rows, "column string, rank long, low double, high double")
+        inside = counts.join(spans, "column").filter("value BETWEEN low AND high")
+        share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+        buckets = (
+            inside.groupBy("column", "rank", F.least(F.floor(share * _BUCKETS), F.lit(_BUCKETS - 1)).alias("bucket"))
             .agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-            .orderBy("bucket")
+            .orderBy("column", "rank", "bucket")
             .collect()
         )
-        for row in rows:
-            if before + row["n"] > rank:
-                low, high = row["low"], row["high"]
-                break
-            before += row["n"]
-    return low
+        closed = set()
+        for b in buckets:
+            key = (b["column"], b["rank"])
+            if key in closed:
+                continue
+            before = ranges[key][0]
+            if before + b["n"] > b["rank"]:
+                ranges[key] = (before, b["low"], b["high"])
+                closed.add(key)
+            else:
+                ranges[key] = (before + b["n"], *ranges[key][1:])
 
 
-def exact_quantile(df: DataFrame, column: str, q: float = 0.5) -> float | None:
-    """Quantile with linear interpolation between the two middle ranks.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float = 0.5) -> dict[str, float | None]:
+    """Quantile of every column, with linear interpolation between the two middle ranks.
 
-    Equal values are counted together before anything is shuffled, so a value
-    that fills a third of the table is one row. Nothing but bucket totals
-    reaches the driver.
+    Equal values are counted together before anything is shuffled, so a value that fills a third of
+    the table is one row. Nothing but bucket totals reaches the driver. A column without a value has
+    none.
     """
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
+    ])
     counts = durable(
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n")),
+        df.select(F.inline(cells)).filter("value IS NOT NULL")
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")),
         "value-counts",
     )
-    n, low, high = counts.agg(F.sum("n"), F.min("value"), F.max("value")).first()
-    if not n:
-        return None
-    place = q * (n - 1)
-    lower = _kth(counts, math.floor(place), low, high)
-    if place == math.floor(place):
-        return lower
-    upper = _kth(counts, math.floor(place) + 1, low, high)
-    return lower + (upper - lower) * (place - math.floor(place))
+    sizes = counts.groupBy("column").agg(
+        F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    ).collect()
+    places = {r["column"]: q * (r["n"] - 1) for r in sizes}
+    wanted = {
+        (r["column"], rank): (r["low"], r["high"])
+        for r in sizes
+        for rank in {math.floor(places[r["column"]]), math.ceil(places[r["column"]])}
+    }
+    at = _at_ranks(counts, wanted)
+    out: dict[str, float | None] = dict.fromkeys(columns)
+    for column, place in places.items():
+        lower, upper = at[column, math.floor(place)], at[column, math.ceil(place)]
+        out[column] = lower + (upper - lower) * (place - math.floor(place))
+    return out
+
+
+def exact_quantile(df: DataFrame, column: str, q: float = 0.5) -> float | None:
+    return exact_quantiles(df, [column], q)[column]
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

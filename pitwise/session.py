@@ -69,16 +69,3 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SPREAD_AT_MOST = 64
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer partitions than the session has cores.
-
-    A table of one small file is one task however many cores wait. A table of
-    many files is left exactly as it is scanned.
-    """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_AT_MOST)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)

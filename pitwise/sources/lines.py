@@ -39,11 +39,6 @@ def _fields(line: Column) -> Column:
     return F.transform(F.when(line.contains('"'), quoted).otherwise(plain), lambda x: F.trim(x))
 
 
-# Up to this many files their headers are small enough to send to every task;
-# beyond it the headers are shuffled to the lines.
-BROADCAST_FILES = 10_000
-
-
 def _text(spark: SparkSession, root) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
     return reader.text(root)
@@ -67,12 +62,12 @@ def scan_files(spark: SparkSession, root) -> tuple[DataFrame, DataFrame]:
     blank lines are gone, short ones padded, long ones cut.
     """
     text = _text(spark, root)
-    few = len(text.inputFiles()) <= BROADCAST_FILES
     lines = _lines(text)
     raw = F.col("value").cast("binary")
     # The header is the first line of the block at offset zero. Everything here
     # is a partial aggregate: one row per file and task reaches the shuffle.
     per_file = lines.groupBy("path").agg(
+        F.min(F.when(F.col("block") == 0, F.col("position"))).alias("first"),
         F.min_by("value", F.when(F.col("block") == 0, F.col("position"))).alias("head"),
         F.bool_and(F.is_valid_utf8(F.col("value"))).alias("utf8"),
         F.bool_or(F.decode(raw, "ISO-8859-1").rlike(_UNDEFINED)).alias("undefined"),
@@ -83,7 +78,7 @@ def scan_files(spark: SparkSession, root) -> tuple[DataFrame, DataFrame]:
     names = _fields(F.replace(head, F.lit(_BOM), F.lit("")))
     files = per_file.select(
         "path",
-        "head",
+        "first",
         "utf8",
         is_csv.alias("is_csv"),
         (F.col("utf8") | ~F.col("undefined")).alias("decodable"),
@@ -102,12 +97,10 @@ def scan_files(spark: SparkSession, root) -> tuple[DataFrame, DataFrame]:
         ).alias("columns"),
     )
     usable = files.filter(F.col("is_csv") & F.col("decodable") & (F.size("columns") > 0))
-    headers = usable.select("path", "head", "utf8", "width", "columns")
-    data = (
-        lines.select("value", "path")
-        .join(F.broadcast(headers) if few else headers, "path")
-        .filter(F.col("value") != F.col("head"))
-    )
+    headers = usable.select("path", "first", "utf8", "width", "columns")
+    # Both reads number the lines alike: they are one relation, cut into the same partitions. A
+    # header that comes again further down is a row like any other.
+    data = lines.join(headers, "path").filter(F.col("position") != F.col("first"))
     decoded = F.when(F.col("utf8"), F.col("value")).otherwise(_fallback(F.col("value")))
     data = data.select("path", "width", "columns", _fields(decoded).alias("cells"))
     data = data.filter(F.exists("cells", lambda c: c != ""))

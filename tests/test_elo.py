@@ -47,6 +47,8 @@ def test_walk_equals_plain_rewrite(league):
 def test_blocks_and_split_days_change_nothing(league):
     whole = _table(elo.rate(league))
     assert _table(elo.rate(league, max_rows_per_task=90)) == whole
+    ends = [sorted(elo.final_state(league, max_rows_per_task=n).collect()) for n in (90, 10**6)]
+    assert ends[0] == ends[1]
 
 
 def test_single_day_over_the_limit_is_split_into_groups(make):
