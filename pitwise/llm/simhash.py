@@ -14,6 +14,7 @@ group is expanded into all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,25 +34,36 @@ RADIUS = 2
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of one text; a text without words has zero."""
+def digests(text: bytes | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of one text, in pieces; fewer words are one shingle, none gives none."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(found) - shingle + 1)
     first, last = starts[:n].tolist(), ends[len(found) - n :].tolist()
     digest = xxhash.xxh64_intdigest
-    count = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, CHUNK):
-        hashes = np.array(
+        yield np.array(
             [digest(line[s:e], 42) for s, e in zip(first[at : at + CHUNK], last[at : at + CHUNK])],
             dtype="<u8",
         )
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of one text; a text without words has zero."""
+    return folded(digests(text, shingle))
+
+
+def folded(parts: Iterable[np.ndarray]) -> int:
+    """The SimHash of shingles given by their hashes."""
+    count, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in parts:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         count += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     packed = np.packbits(count * 2 > n, bitorder="little")
     return int(packed.view("<i8")[0])
 
@@ -271,7 +283,12 @@ def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     packed = docs.select("doc_id", "text", F.struct(*columns).alias("row"))
     fps = durable(with_fingerprint(packed).select("doc_id", "row", "fp"), "simhash-docs")
     groups = classes(fps.select("doc_id", "fp"), radius)
-    low = fps.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return lowest_rows(fps.join(groups, "fp"), columns)
+
+
+def lowest_rows(homed: DataFrame, columns: list[str]) -> DataFrame:
+    """The smallest row of each root, from (doc_id, row, root, component_id)."""
+    low = homed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     order = ["doc_id", *[c for c in columns if c != "doc_id"]]
     first = F.min(F.struct(*[F.col("row")[c].alias(c) for c in order])).alias("r")
     return low.groupBy("root").agg(first).select(*[F.col("r")[c].alias(c) for c in columns])
