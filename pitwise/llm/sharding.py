@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. Every document starts in a shard drawn by hash. In a round,
 each linked group asks to gather in the shard where most of it already lies; the shards admit
-groups, those first that would cut the fewest links any more, up to the rows they have room for.
-Rounds repeat until no group moves. A last step makes the counts exact: documents are lined up by
+groups, those first that would leave most links uncut, up to the rows they have room for. A group
+that has been refused asks its next best shard. Rounds repeat until no group asks. A last step makes the counts exact: documents are lined up by
 shard and group, and the line is cut at equal counts, so only groups at a cut, or larger than a
 shard, are in two shards.
 
@@ -14,6 +14,8 @@ one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +23,7 @@ from pyspark.sql.window import Window
 from pitwise.session import durable
 
 SHARDS = 24
-ROUNDS = 4
-#: Hash ranges that share a shard's room, and cells of the line.
+#: Hash ranges that a shard's queue is counted in, and cells of the line.
 LANES = 32
 CELLS = 512
 #: Rows of the table for each part that a group's rows are numbered in, beyond the first parts.
@@ -35,36 +36,64 @@ def _hash_to(column, n: int, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(n)).cast("int")
 
 
-def propagate(cells: DataFrame, room: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(group, home) after label propagation over (group, shard, n) rows of linked groups.
+def _admit(offers: DataFrame, room: float, load: list[float]) -> tuple[list[DataFrame], list[float]]:
+    """Tables of (group, home, total) that shards admit, and the rows each shard then holds.
 
-    ``room`` is the linked rows that a shard may hold. A shard admits as many as it has room for and
-    half of those that ask to leave it. Every lane of hash ranges has an equal part of that quota,
-    so admission needs no order over a whole shard.
+    ``offers`` holds (group, shard, n, total): the labels a group may take, those of most rows first.
+    A group that its best label has no room for is offered its next; one that only stands too far
+    back in a queue asks again. The head of a queue always fits, so every round settles something.
     """
-    now = durable(cells, "shard-cells")
-    for _ in range(rounds):
-        best = F.max_by("shard", F.struct("n", -F.col("shard"))).alias("to")
-        asked = now.groupBy("group").agg(
-            F.sum("n").alias("total"), F.max("n").alias("there"), best, F.count("*").alias("spread")
-        ).where("spread > 1")
-        leaving = now.join(asked.select("group", "to"), "group").where("shard != to").groupBy("shard").agg(F.sum("n").alias("out"))
-        load = now.groupBy("shard").agg(F.sum("n").alias("load")).join(leaving, "shard", "left").select(
-            F.col("shard").alias("to"),
-            (F.greatest(F.lit(float(room)) - F.col("load"), F.lit(0.0)) + F.coalesce("out", F.lit(0)) / 2).alias("quota"),
-        )
-        queue = Window.partitionBy("to", "lane").orderBy(F.desc("there"), "group").rowsBetween(Window.unboundedPreceding, 0)
+    left, homes, load = durable(offers, "shard-offers"), [], list(load)
+    while not left.isEmpty():
+        free = F.array(*[F.lit(float(max(0.0, room - x))) for x in load])
+        asked = left.groupBy("group").agg(
+            F.max_by("shard", F.struct("n", -F.col("shard"))).alias("to"), F.max("n").alias("there"),
+            F.max("total").alias("total"),
+        ).withColumn("free", F.element_at(free, F.col("to") + 1))
+        # those first that would cut most links: by powers of two, by hash within, then in order
+        asked = durable(asked.withColumn("level", -F.floor(F.log2(F.col("there") + 1))).withColumn(
+            "lane", _hash_to(F.col("group"), LANES, 5)
+        ), "shard-asked")
+        fit = asked.where("total <= free")
+        before = Window.partitionBy("to").orderBy("level", "lane").rowsBetween(Window.unboundedPreceding, -1)
+        lanes = fit.groupBy("to", "level", "lane").agg(F.sum("total").alias("lane_n"))
+        starts = lanes.select("to", "level", "lane", F.coalesce(F.sum("lane_n").over(before), F.lit(0)).alias("start"))
+        queue = Window.partitionBy("to", "level", "lane").orderBy(F.desc("there"), "group").rowsBetween(Window.unboundedPreceding, 0)
         moves = durable(
-            asked.withColumn("lane", _hash_to(F.col("group"), LANES, 5))
-            .withColumn("upto", F.sum(F.col("total") - F.col("there")).over(queue))
-            .join(load, "to").where(F.col("upto") <= F.col("quota") / LANES)
-            .select(F.col("group").alias("g"), "to", "total"), "shard-moves",
+            fit.withColumn("upto", F.sum("total").over(queue)).join(starts, ["to", "level", "lane"])
+            .where(F.col("start") + F.col("upto") <= F.col("free"))
+            .select("group", F.col("to").alias("home"), "total"), "shard-moves",
         )
-        if moves.isEmpty():
-            break
-        moved = moves.select(F.col("g").alias("group"), F.col("to").alias("shard"), F.col("total").alias("n"))
-        now = durable(now.join(moves, now["group"] == moves["g"], "left_anti").unionByName(moved), "shard-cells")
-    return now.groupBy("group").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("home"))
+        homes.append(moves)
+        for r in moves.groupBy("home").agg(F.sum("total").alias("n")).collect():
+            load[r.home] += r.n
+        refused = asked.where("total > free").select("group", F.col("to").alias("shard"))
+        left = durable(
+            left.join(moves.select("group"), "group", "left_anti").join(refused, ["group", "shard"], "left_anti"), "shard-offers"
+        )
+    return homes, load
+
+
+def propagate(cells: DataFrame, room: float, shards: int = SHARDS) -> DataFrame:
+    """(group, home) after label propagation over (group, shard, n) rows of linked groups.
+
+    ``room`` is the linked rows that a shard may hold. A group takes the label of most of its rows
+    that has room, else any shard that has; one that fits in none stays with its first label, and
+    the cut at equal counts splits it.
+    """
+    cells = durable(cells, "shard-cells")
+    totals = durable(cells.groupBy("group").agg(
+        F.sum("n").alias("total"), F.max_by("shard", F.struct("n", -F.col("shard"))).alias("first")
+    ), "shard-groups")
+    homes, load = _admit(cells.join(totals.select("group", "total"), "group"), room, [0.0] * shards)
+    settled = reduce(DataFrame.unionByName, homes, totals.select("group", F.col("first").alias("home"), "total").where("false"))
+    rest = totals.join(settled.select("group"), "group", "left_anti")
+    free = F.array(*[F.lit(float(max(0.0, room - x))) for x in load])
+    anywhere = rest.select("group", "total", F.posexplode(free).alias("shard", "free")).where("total <= free")
+    ranked = anywhere.select("group", "shard", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20)).alias("n"), "total")
+    more, _ = _admit(ranked, room, load)
+    settled = reduce(DataFrame.unionByName, more, settled)
+    return totals.join(settled.select("group", "home"), "group", "left").select("group", F.coalesce("home", "first").alias("home"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
