@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm import bytebpe, lm, maintext, minhash, mixing, neighbours, quality, sharding, simhash, tokenfile
+from pitwise.llm import (
+    bytebpe, language, lm, maintext, minhash, mixing, neighbours, quality, repair, sharding, simhash, spelling, tokenfile,
+)
 from pitwise.llm.common import table
 from pitwise.session import scratch_path
 
@@ -97,3 +99,18 @@ def op10(spark, sf_dir) -> DataFrame:
 @query("op8_log_bilinear_lm")
 def op8(spark, sf_dir) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_language_id")
+def op11(spark, sf_dir) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf_dir) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf_dir) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
