@@ -241,33 +241,119 @@ shaped AS (SELECT *, 1 / oh + 1 / od + 1 / oa AS book,
       CASE WHEN book >= 0.99 THEN od END AS odds_draw,
       CASE WHEN book >= 0.99 THEN oa END AS odds_away
     FROM (SELECT *, row_number() OVER (PARTITION BY competition_id, season, date, home_team,
-            away_text ORDER BY home_goals, away_goals, kickoff NULLS LAST) AS rn
+            away_text ORDER BY home_goals, away_goals, kickoff NULLS LAST,
+            CASE WHEN country <> 'LOW' THEN ht_result END NULLS LAST,
+            CASE WHEN ht <= hs OR ht IS NULL OR hs IS NULL THEN hs END NULLS LAST,
+            CASE WHEN ht <= hs OR ht IS NULL OR hs IS NULL THEN ht END NULLS LAST,
+            CASE WHEN country <> 'LOW' THEN referee END NULLS LAST,
+            CASE WHEN book >= 0.99 THEN oh END NULLS LAST, CASE WHEN book >= 0.99 THEN od END NULLS LAST,
+            CASE WHEN book >= 0.99 THEN oa END NULLS LAST) AS rn
           FROM shaped WHERE reason IS NULL) AS kept
-    WHERE (SELECT count(*) FROM shaped AS o WHERE o.reason IS NULL) >= 0 AND rn = 1
-      AND NOT EXISTS (SELECT 1 FROM shaped AS o WHERE o.reason IS NULL
-        AND o.match_id <> kept.match_id AND o.competition_id = kept.competition_id
-        AND o.date = kept.date AND o.home_team = kept.home_team AND o.away_text = kept.away_text)""",
+    WHERE rn = 1""",
 )
 def ingest_provider_files(spark, sf_dir):
-    """Written files read back leniently and cleaned.
-
-    A pairing that meets twice on one date has one id and two different rows;
-    which of them the sources list first is not part of the data, so such ids
-    are left to :func:`ingest_union_dedupe` and excluded here on both sides.
-    """
+    """Written files read back leniently and cleaned; of rows with one id the least by content stays."""
     landed = _landed(spark, sf_dir)
-    once = (
-        clean.identify(landed.shaped.filter("drop_reason IS NULL"), True)
-        .groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .filter("rows = 1")
-    )
     names = (
         "match_id competition_id competition season date kickoff home_team away_team "
         "home_team_id away_team_id home_goals away_goals result ht_result home_shots "
         "home_shots_on_target referee odds_home odds_draw odds_away"
     ).split()
-    return landed.matches.join(once, KEY, "left_semi").select(*names)
+    return landed.matches.select(*names)
+
+
+# ---- lenient files ---------------------------------------------------------------
+
+_PER_FILE = 100
+_HEAD = "Key,Name ,Note,,Balance"
+_KINDS = ("plain", "bom", "latin", "page")
+
+
+def write_lenient_files(customers, root):
+    """Customers as files of four kinds, each with every oddity a provider's file may have.
+
+    One row of text per file: plain UTF-8, with a byte order mark, in a one-byte code page, and a
+    web page under a file's name. Records are quoted, go on over line ends, are short, long or blank,
+    and the header comes again between them.
+    """
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    cells = (name, F.col("c_mktsegment"), F.lit(""), F.col("c_acctbal").cast("string"))
+    usual = F.concat_ws(",", key, *cells)
+    variant = F.col("c_custkey") % 8
+    line = (
+        F.when(variant == 1, F.concat_ws(",", key, F.concat(F.lit('"'), name, F.lit(', The"')), *cells[1:]))
+        .when(variant == 2, F.concat_ws(",", key, F.concat(F.lit('"two\n'), name, F.lit('"')), *cells[1:]))
+        .when(variant == 3, F.concat_ws(",", key, name))
+        .when(variant == 4, F.concat(usual, F.lit(",,more")))
+        .when(variant == 5, F.concat_ws(
+            ",", key, F.concat(F.lit('" \r\n'), name, F.lit(' ""x""\nK\u00f6ln,\u00a0"')), *cells[1:]))
+        .when(variant == 6, F.concat(F.lit(",, ,,\n\n"), usual))
+        .when(variant == 7, F.concat(F.lit(_HEAD + "\n"), usual))
+        .otherwise(usual)
+    )
+    # A file holds _PER_FILE customers, however many there are.
+    number = F.floor(F.col("c_custkey") / _PER_FILE)
+    files = customers.select(
+        number.alias("file"), F.struct("c_custkey", line.alias("line")).alias("row")
+    ).groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    body = F.concat(F.lit(_HEAD + "\n"), F.array_join(F.col("rows.line"), "\n"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("file") % 4 + 1).cast("int"))
+    text = (
+        F.when(kind == "bom", F.concat(F.lit("\ufeff"), body))
+        # The text sink writes a string's bytes as they are.
+        .when(kind == "latin", F.encode(body, "ISO-8859-1").cast("string"))
+        .when(kind == "page", F.concat(F.lit("<!DOCTYPE html>\n<p>"), body))
+        .otherwise(body)
+    )
+    parts = files.select(kind.alias("kind"), "file", text.alias("value")).repartition("kind", "file")
+    parts.write.partitionBy("kind", "file").text(root, compression="none")
+
+
+def _scan_lenient(spark, sf_dir):
+    root = scratch_path(spark, "lenient")
+    write_lenient_files(table(spark, sf_dir, "customer"), root)
+    return lines.scan_files(spark, root, "*.txt")
+
+
+_LENIENT = f"""WITH numbered AS (SELECT *, CAST(c_custkey // {_PER_FILE} AS BIGINT) AS file,
+    c_custkey % 8 AS v FROM customer),
+  kinds AS (SELECT *, CASE file % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'bom' WHEN 2 THEN 'latin'
+    ELSE 'page' END AS kind FROM numbered)"""
+
+
+@query(
+    "lenient_file_rows",
+    f"""{_LENIENT}
+    SELECT kind, file, CAST(c_custkey AS VARCHAR) AS key,
+      CASE v WHEN 1 THEN c_name || ', The' WHEN 2 THEN 'two' || c_name
+        WHEN 5 THEN c_name || ' "x"Köln,' ELSE c_name END AS name,
+      CASE WHEN v = 3 THEN '' ELSE c_mktsegment END AS note,
+      CASE WHEN v = 3 THEN NULL ELSE c_acctbal END AS balance,
+      v = 3 AS padded, v = 3 AS short, v = 4 AS truncated, v = 4 AS discarded
+    FROM kinds WHERE kind <> 'page'
+    UNION ALL SELECT kind, file, 'Key', 'Name', 'Note', NULL, FALSE, FALSE, FALSE, FALSE
+    FROM kinds WHERE kind <> 'page' AND v = 7""",
+)
+def lenient_file_rows(spark, sf_dir):
+    """Every record of files with every oddity, its named fields and how it was mended."""
+    _, rows = _scan_lenient(spark, sf_dir)
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1)
+    return rows.select(
+        part("kind").alias("kind"), part("file").cast("long").alias("file"),
+        *[lines.field(n.capitalize()).alias(n) for n in ("key", "name", "note")],
+        F.expr("try_cast(fields['Balance'] AS double)").alias("balance"),
+        "padded", "short", "truncated", "discarded",
+    )
+
+
+@query(
+    "lenient_unusable_files",
+    f"{_LENIENT} SELECT DISTINCT file, 'not csv' AS reason FROM kinds WHERE kind = 'page'",
+)
+def lenient_unusable_files(spark, sf_dir):
+    files, _ = _scan_lenient(spark, sf_dir)
+    file = F.regexp_extract("path", "/file=([^/]+)/", 1).cast("long")
+    return lines.unusable(files).select(file.alias("file"), "reason")
 
 
 @query(

@@ -105,8 +105,8 @@ def _fields(record: Column) -> Column:
     return F.transform(fields, lambda x: F.btrim(x, F.lit(_WHITE)))
 
 
-def _text(spark: SparkSession, root) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+def _text(spark: SparkSession, root, names: str) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names)
     return reader.text(root)
 
 
@@ -221,8 +221,8 @@ def _stitched(lines: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame
     return whole.join(refused, "path", "left_anti").unionByName(joined), refused
 
 
-def scan_files(spark: SparkSession, root) -> tuple[DataFrame, DataFrame]:
-    """``(files, rows)`` of a landing directory.
+def scan_files(spark: SparkSession, root, names: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """``(files, rows)`` of a landing directory, over the files whose names match.
 
     ``files``: one row per file with its header, whether it is CSV at all,
     whether it decodes and whether a quote is left open. ``rows``: one row per
@@ -231,7 +231,7 @@ def scan_files(spark: SparkSession, root) -> tuple[DataFrame, DataFrame]:
     padded, long ones cut. A quoted field goes on over line ends, which are not
     part of it.
     """
-    text = _lines(_text(spark, root))
+    text = _lines(_text(spark, root, names))
     place = ["path", "block"]
     # One small row per block that needs it; read twice below.
     blocks = durable(_open_blocks(text), "open-blocks")
