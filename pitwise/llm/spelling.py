@@ -24,7 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.llm.common import pieces
@@ -81,74 +81,75 @@ def vocabulary(docs: DataFrame, length: int = LEAST_LENGTH, count: int = LEAST_C
     return counted.where(F.col("n") >= count)
 
 
-def _prefix_hashes(word: str) -> np.ndarray:
-    """Hashes of all prefixes of a word, the whole word last."""
+def _prefix_hashes(word: str, backwards: bool) -> np.ndarray:
+    """Hashes of all prefixes of a word, the whole word last; each direction has a trie of its own."""
     codes = np.frombuffer(word.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
     powers = np.cumprod(np.full(len(codes), _BASE, dtype=np.uint64))
-    sums = np.cumsum(codes * powers, dtype=np.uint64)
+    sums = np.cumsum(codes * powers, dtype=np.uint64) + np.uint64(backwards)
     sums ^= sums >> np.uint64(29)
     return (sums * _BASE).view(np.int64)
 
 
-def prefixes(words: DataFrame, backwards: bool) -> DataFrame:
-    """(word, size, pos, node, next): the nodes of the latter half of every word; next is '' at its end.
+def prefixes(words: DataFrame) -> DataFrame:
+    """(word, back, pos, node, next): the nodes of the latter half of every word, in both directions.
 
-    ``word`` is read backwards where asked. The halves of the two directions meet, and a word one
-    letter shorter reaches as far up as its longer partner's half does.
+    ``back`` marks words read backwards; ``next`` is '' at a word's end. The halves of the two
+    directions meet, and a word one letter shorter reaches as far up as its longer partner's half.
     """
-    oriented = words.select((F.reverse("word") if backwards else F.col("word")).alias("word"))
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "word", 1 << 20):
-                names, sizes, places, nodes, letters = [], [], [], [], []
-                for word in part.column("word").to_pylist():
-                    start = (len(word) + (0 if backwards else 1)) // 2
-                    if not start:
-                        continue
-                    names.append(word)
-                    sizes.append(len(word) - start + 1)
-                    places.append(np.arange(start, len(word) + 1))
-                    nodes.append(_prefix_hashes(word)[start - 1 :])
-                    letters.extend(word[start:])
-                    letters.append("")
+                names, ways, sizes, places, nodes, letters = [], [], [], [], [], []
+                for forward in part.column("word").to_pylist():
+                    for back, word in enumerate((forward, forward[::-1])):
+                        start = (len(word) + 1 - back) // 2
+                        if not start:
+                            continue
+                        names.append(word)
+                        ways.append(bool(back))
+                        sizes.append(len(word) - start + 1)
+                        places.append(np.arange(start, len(word) + 1))
+                        nodes.append(_prefix_hashes(word, bool(back))[start - 1 :])
+                        letters.extend(word[start:])
+                        letters.append("")
                 if not names:
                     continue
-                owner = np.repeat(np.arange(len(names)), sizes)
+                owner = pa.array(np.repeat(np.arange(len(names)), sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()).take(pa.array(owner)), pa.array(np.concatenate(places), pa.int32()),
-                     pa.array(np.concatenate(nodes)), pa.array(letters, pa.string())],
-                    names=["word", "pos", "node", "next"],
+                    [pa.array(names, pa.string()).take(owner), pa.array(ways).take(owner),
+                     pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(nodes)),
+                     pa.array(letters, pa.string())],
+                    names=["word", "back", "pos", "node", "next"],
                 )
 
-    return oriented.mapInArrow(run, "word string, pos int, node long, next string")
+    return words.select("word").mapInArrow(run, "word string, back boolean, pos int, node long, next string")
 
 
 def trie(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(own, edges) of the words' prefixes.
 
-    ``own`` (word, pos, node, whole) are the nodes on each word's path at which words part or end
-    (``whole`` where one ends);
-    ``edges`` (node, first, label, size, child, ends) lead from one to the next.
+    ``own`` (word, back, pos, node, whole) are the nodes on each word's path at which words part
+    (``whole`` where one of them ends); ``edges`` (node, first, label, size, child, ends) lead from
+    each such node to the next one or to the end of a word.
     """
-    parting = steps.groupBy("node").agg(
-        F.min("next").alias("low"), F.max("next").alias("high")
-    ).where("low != high or low = ''").select("node", (F.col("low") == "").alias("ends"))
-    met = steps.join(parting, "node").select("word", "pos", "node", "ends")
-    path = met.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "ends"))).alias("path"))
-    # a word's own path is as long as the word at most
-    at = F.posexplode("path").alias("k", "here")
-    walked = durable(path.select("word", "path", at).select(
-        "word", F.col("here.pos").alias("pos"), F.col("here.node").alias("node"), F.col("here.ends").alias("whole"),
-        F.get("path", F.col("k") + 1).alias("to"),
-    ), "spelling-paths")
+    parting = steps.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high")).where(
+        "low != high"
+    ).select("node", (F.col("low") == "").alias("whole"))
+    inner = steps.where("next != ''").join(parting, "node").select("word", "back", "pos", "node", "whole")
+    last = steps.where("next = ''").select("word", "back", "pos", "node", F.lit(True).alias("whole"))
+    # a window holds the nodes of one word
+    along = Window.partitionBy("word", "back").orderBy("pos")
+    walked = durable(
+        inner.unionByName(last).withColumn("to", F.lead(F.struct("pos", "node", "whole")).over(along)).where("to is not null"),
+        "spelling-paths",
+    )
     label = F.substring("word", F.col("pos") + 1, F.col("to.pos") - F.col("pos"))
     edges = (
-        walked.where("to is not null")
-        .groupBy("node", F.col("to.node").alias("child"), label.alias("label")).agg(F.max("to.ends").alias("ends"))
+        walked.groupBy("node", F.col("to.node").alias("child"), label.alias("label")).agg(F.max("to.whole").alias("ends"))
         .select("node", F.substring("label", 1, 1).alias("first"), "label", F.length("label").alias("size"), "child", "ends")
     )
-    return walked.where("to is not null").select("word", "pos", "node", "whole"), durable(edges, "spelling-edges")
+    return walked.drop("to"), durable(edges, "spelling-edges")
 
 
 def _rest(word: str, start: Column, size: Column) -> Column:
@@ -157,38 +158,33 @@ def _rest(word: str, start: Column, size: Column) -> Column:
 
 
 def frontier(own: DataFrame, edges: DataFrame) -> DataFrame:
-    """(word, node): ends of words that one replaced or left out letter of ``word`` leads to."""
+    """(word, back, node): ends of words that one replaced or left out letter of ``word`` leads to."""
     pos, size = F.col("pos"), F.col("size")
     letter = F.substring("word", pos + 1, F.lit(1))
     here = own.join(edges, "node").where(F.col("first") != letter)
-    replaced = here.where(
-        F.substring("label", F.lit(2), size) == _rest("word", pos + 1, size - 1)
-    ).select("word", (pos + size).alias("pos"), F.col("child").alias("node"), "ends")
-    dropped = here.where(F.col("label") == _rest("word", pos + 1, size)).select(
-        "word", (pos + 1 + size).alias("pos"), F.col("child").alias("node"), "ends"
+    replaced = F.substring("label", F.lit(2), size) == _rest("word", pos + 1, size - 1)
+    dropped = F.col("label") == _rest("word", pos + 1, size)
+    # a label may fit both ways, as in a run of one letter
+    fits = F.filter(F.array(F.when(replaced, pos + size), F.when(dropped, pos + 1 + size)), lambda x: x.isNotNull())
+    begun = here.where(replaced | dropped).select(
+        "word", "back", F.explode(fits).alias("pos"), F.col("child").alias("node"), "ends"
     )
     length = F.length("word")
-    shorter = own.where((pos == length - 1) & F.col("whole")).select("word", "node")  # the last letter left out
-    now = durable(
-        replaced.unionByName(dropped).where((F.col("pos") < length) | ((F.col("pos") == length) & F.col("ends"))),
-        "spelling-states",
-    )
-    done = [shorter]
+    shorter = own.where((pos == length - 1) & F.col("whole")).select("word", "back", "node")  # the last letter left out
+    alive = (F.col("pos") < length) | ((F.col("pos") == length) & F.col("ends"))
+    now = durable(begun.where(alive), "spelling-states")
+    done = shorter
     while True:
-        done.append(now.where(F.col("pos") == length).select("word", "node"))
+        done = done.unionByName(now.where(F.col("pos") == length).select("word", "back", "node"))
         going = now.where(F.col("pos") < length).drop("ends")
         if going.isEmpty():
-            break
+            return done
         moved = (
             going.withColumn("first", F.substring("word", pos + 1, F.lit(1))).join(edges, ["node", "first"])
             .where(F.col("label") == _rest("word", pos, size))
-            .select("word", (pos + size).alias("pos"), F.col("child").alias("node"), "ends")
+            .select("word", "back", (pos + size).alias("pos"), F.col("child").alias("node"), "ends")
         )
-        now = durable(moved.where((F.col("pos") < length) | ((F.col("pos") == length) & F.col("ends"))), "spelling-states")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        now = durable(moved.where(alive), "spelling-states")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -197,15 +193,13 @@ def neighbours(words: DataFrame) -> DataFrame:
     ``words`` holds each word once. A word of one code point has no node above the empty prefix;
     pairs need at least two.
     """
-    found = []
-    for backwards in (False, True):
-        steps = durable(prefixes(words, backwards), "spelling-prefixes")
-        own, edges = trie(steps)
-        ends = steps.where("next = ''").select("node", F.col("word").alias("near"))
-        met = frontier(own, edges).join(ends, "node").select("word", "near")
-        found.append(met.select(*[(F.reverse(c) if backwards else F.col(c)).alias(c) for c in ("word", "near")]))
-    met = found[0].unionByName(found[1]).where(F.levenshtein("word", "near", 1) == 1)
-    both = met.unionByName(met.select(F.col("near").alias("word"), F.col("word").alias("near")))
+    steps = durable(prefixes(words), "spelling-prefixes")
+    own, edges = trie(steps)
+    ends = steps.where("next = ''").select("node", F.col("word").alias("near"))
+    met = frontier(own, edges).join(ends, "node").where(F.levenshtein("word", "near", 1) == 1)
+    turned = met.select(*[F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias(c) for c in ("word", "near")])
+    pair = F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near")))
+    both = turned.select(F.explode(pair).alias("p")).select("p.word", "p.near")
     return durable(both.distinct(), "spelling-pairs")
 
 
