@@ -1,16 +1,24 @@
 """A log-bilinear language model over word classes, trained by noise-contrastive estimation.
 
-Every word belongs to a class: the most frequent tokens have one each, all others share classes by
-a hash of their last two bytes. The model predicts the class of a token from the classes of the two
-before it: the context vector is a sum of position matrices times class vectors, and its product
-with the output vectors gives class scores. Inside a class a word has its share of the counts. One
-part of the probability, as large as the share of tokens seen once, is kept for all unknown words
-together, so probabilities of the known words and of "unknown" sum to one.
-
-Counts cover all training documents. Documents are held in blocks, each with a list of its
-different words; the counts of a block's words come by a join on the word, and everything else
-inside a block is array arithmetic. The class triples that training needs are summed over all
-training tokens; there are at most ``CLASSES`` cubed of them.
+About the square root of the number of different words are classes. The commonest words, those with
+at least a class's share of all tokens, have one each; the others share classes by a hash of their
+last three bytes. Classes lie in groups, about the square root of their number. The context vector
+of a token is a sum of position matrices times vectors of the two classes before it; its products
+with output vectors give the probability of the group and, inside the group, of the class, each
+normalised. Inside a class a word has its share of the counts.
+
+A part of the probability, as large as the share of tokens seen once, is kept for unknown words and
+spread evenly over as many words as are estimated to be unseen, so that an unknown word has the
+probability of one word and those of all next tokens sum to one. Where nothing is learnt, words are
+strings of equally likely bytes.
+
+Training runs where the tokens are. In each round every task starts from the same parameters, takes
+steps over the training tokens of all its blocks, and the parameters are averaged row by row,
+weighted by how often a task saw the row's class. So all contexts are learnt from, in tasks whose
+number grows with the corpus, and only parameters leave a task.
+
+Documents are held in blocks, each with a list of its different words. Counts of the ``TOP``
+commonest words go to all workers, a bounded list; those of rarer words come by a join on the word.
 """
 
 from __future__ import annotations
@@ -20,6 +28,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +38,19 @@ from pitwise.llm.common import crc_remainder, pieces, sums, word_lists
 from pitwise.llm.tokenfile import grow, shrink
 from pitwise.session import durable
 
-CLASSES = 64
-#: Classes that hold one token; the end of a text is always one of them.
-SINGLE = 40
-DIMENSIONS = 24
-EPOCHS = 6
-BATCH = 4096
-NOISE = 12
-RATE = 0.15
-BLOCK_BYTES = 4 << 20
+DIMENSIONS = 16
+ROUNDS = 2
+BATCH = 1024
+NOISE = 6
+RATE = 0.1
+BLOCK_BYTES = 2 << 20
+#: Words whose counts go to all workers.
+TOP = 1 << 17
 HELD_OUT_OF, HELD_OUT_AT = 7, 2
 END = b""
+_AT_BITS = 26  # place of a word in its block, beside its count in one number
+_BYTE = np.log10(257.0)  # a byte or the end of a word
+_NEVER = -1e30
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -86,34 +99,52 @@ def word_counts(held: DataFrame) -> DataFrame:
     return pairs.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def classes_of(words: list[bytes], single: dict[bytes, int]) -> np.ndarray:
-    """The class of every word: its own, or one by its last two bytes."""
-    shared, get, crc = CLASSES - SINGLE, single.get, zlib.crc32
-    return np.array(
-        [k if (k := get(w)) is not None else SINGLE + crc(w[-2:]) % shared for w in words], dtype=np.uint8
-    )
+@dataclass
+class Classes:
+    """The words with a class of their own, by class; all others share the classes after them."""
+
+    single: dict[bytes, int]
+    shared: int
+
+    @property
+    def size(self) -> int:
+        return len(self.single) + self.shared
+
+    @property
+    def groups(self) -> int:
+        return max(1, round(self.size**0.5))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        get, crc, first, shared = self.single.get, zlib.crc32, len(self.single), self.shared
+        return np.array(
+            [k if (k := get(w)) is not None else first + crc(w[-3:]) % shared for w in words], dtype=np.int32
+        )
 
 
-def triples(held: DataFrame, single: dict[bytes, int]) -> DataFrame:
-    """(code, n): training occurrences of classes two back, one back and here, as one number."""
+def classes_for(counts: DataFrame, n: int, v: int) -> Classes:
+    """Classes for ``v`` different words and ``n`` tokens; at most the square root of ``v`` have their own."""
+    size = max(2, round(v**0.5))
+    own = counts.where((F.length("word") > 0) & (F.col("c") * size >= n))
+    top = own.orderBy(F.desc("c"), "word").limit(size - 1).collect()
+    single = {END: 0} | {bytes(r.word): k + 1 for k, r in enumerate(top)}
+    return Classes(single, max(1, size - len(single)))
+
+
+def class_counts(counts: DataFrame, classes: Classes) -> np.ndarray:
+    """Training tokens of every class; zero where no training word falls into it."""
 
     def run(batches):
-        total = np.zeros(CLASSES**3, dtype=np.int64)
-        end = single[END]
+        total = np.zeros(classes.size, dtype=np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                kinds = classes_of(batch.column("words")[row].as_py(), single)
-                tokens = grow(batch.column("tokens")[row].as_py())
-                counts = np.array(batch.column("counts")[row].as_py(), dtype=np.int64)
-                here, back, far = _context(kinds[tokens], end)
-                code = (far.astype(np.int32) * CLASSES + back) * CLASSES + here
-                use = np.repeat(~np.array(batch.column("held")[row].as_py(), dtype=bool), counts)
-                total += np.bincount(code[use], minlength=CLASSES**3)
+            kinds = classes.of(batch.column("word").to_pylist())
+            np.add.at(total, kinds, batch.column("c").to_numpy())
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["k", "s"])
 
-    slim = held.select("words", "tokens", "counts", "held")
-    return slim.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    out = np.zeros(classes.size, dtype=np.int64)
+    for r in counts.mapInArrow(run, "k long, s long").groupBy("k").agg(F.sum("s").alias("s")).collect():
+        out[r.k] = r.s
+    return out
 
 
 def _context(kinds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,67 +156,193 @@ def _context(kinds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return kinds, back, far
 
 
-@dataclass
 class Model:
-    """Vectors of classes as context and as output, a matrix for each position, and biases."""
-
-    context: np.ndarray
-    output: np.ndarray
-    places: np.ndarray
-    bias: np.ndarray
-
-    def log_probabilities(self) -> np.ndarray:
-        """log10 P(class | two back, one back) for all contexts, normalised, by matrix products."""
-        far = self.context @ self.places[1] @ self.output.T
-        back = self.context @ self.places[0] @ self.output.T
-        scores = far[:, None, :] + back[None, :, :] + self.bias
-        top = scores.max(axis=2, keepdims=True)
-        return (scores - top - np.log(np.exp(scores - top).sum(axis=2, keepdims=True))) / np.log(10)
-
-
-def fit(codes: np.ndarray, counts: np.ndarray, seed: int = 3) -> Model:
-    """Noise-contrastive estimation on weighted triples; the noise is the classes' own frequency."""
-    rng = np.random.default_rng(seed)
-    k, d = CLASSES, DIMENSIONS
-    here, back, far = codes % k, codes // k % k, codes // (k * k)
-    share = np.bincount(here, weights=counts, minlength=k) + 1.0
-    share /= share.sum()
-    context, output = rng.normal(0, 0.1, (k, d)), rng.normal(0, 0.1, (k, d))
-    places = np.stack([np.eye(d), np.eye(d) * 0.5])
-    bias = np.log(share)
-    if not len(codes):
-        return Model(context, output * 0, places, bias)
-    weight = counts / counts.sum()
-    chance = np.cumsum(weight)
-    noise_cut = np.cumsum(share)
-    log_noise = np.log(NOISE * share)
-    seen = [np.full_like(p, 1e-8) for p in (context, output, places, bias)]
-    one_hot = np.eye(k)
-    steps = EPOCHS * 200
-    for step in range(steps):
-        pick = np.minimum(np.searchsorted(chance, rng.random(BATCH)), len(codes) - 1)
-        h1, h2 = back[pick], far[pick]
-        c1, c2 = context[h1], context[h2]
-        hidden = c1 @ places[0] + c2 @ places[1]
-        noise = np.minimum(np.searchsorted(noise_cut, rng.random((BATCH, NOISE))), k - 1)
-        words = np.concatenate([here[pick][:, None], noise], axis=1)
-        scores = np.take_along_axis(hidden @ output.T + bias, words, axis=1)
-        odds = 1 / (1 + np.exp(-(scores - log_noise[words])))
-        odds[:, 0] -= 1
-        back_words = np.zeros((BATCH, k))
-        np.add.at(back_words, (np.arange(BATCH)[:, None], words), odds / BATCH)
-        g_hidden = back_words @ output
-        grads = [
-            one_hot[h1].T @ (g_hidden @ places[0].T) + one_hot[h2].T @ (g_hidden @ places[1].T),
-            back_words.T @ hidden,
-            np.stack([c1.T @ g_hidden, c2.T @ g_hidden]),
-            back_words.sum(axis=0),
-        ]
-        rate = RATE * (1 - step / steps) + 0.01
-        for p, g, s in zip((context, output, places, bias), grads, seen):
-            s += g * g
-            p -= rate * g / np.sqrt(s)
-    return Model(context, output, places, bias)
+    """Context vectors of the classes, a matrix for each position, output vectors and biases.
+
+    The parameters are rows of one matrix, in that order; a bias is the last number of its row.
+    Class ``k`` lies in group ``k % groups``.
+    """
+
+    def __init__(self, in_class: np.ndarray, groups: int, rows: np.ndarray | None = None):
+        self.k, self.g, d = len(in_class), groups, DIMENSIONS
+        self.member = np.arange(self.k) % groups
+        in_group = np.bincount(self.member, weights=in_class, minlength=groups)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.class_share = np.where(in_class > 0, in_class / in_group[self.member], 0.0)
+            self.group_share = in_group / max(in_group.sum(), 1)
+            self.log_class = np.where(self.class_share > 0, np.log(self.class_share), _NEVER)
+            self.log_group = np.where(self.group_share > 0, np.log(self.group_share), _NEVER)
+        if rows is None:
+            rng = np.random.default_rng(3)
+            rows = np.zeros((2 * self.k + 2 * d + groups, d + 1), dtype=np.float32)
+            rows[: self.k, :d] = rng.normal(0, 0.3, (self.k, d))
+            rows[self.k : self.k + 2 * d, :d] = np.concatenate([np.eye(d), 0.5 * np.eye(d)])
+        self.rows = rows
+        at = np.cumsum([0, self.k, d, d, groups, self.k])
+        self.context, self.near, self.far, self.by_group, self.by_class = (
+            rows[a:b] for a, b in zip(at[:-1], at[1:])
+        )
+
+    def hidden(self, back: np.ndarray, far: np.ndarray) -> np.ndarray:
+        d = DIMENSIONS
+        return self.context[back, :d] @ self.near[:, :d] + self.context[far, :d] @ self.far[:, :d]
+
+    def log_probabilities(self, here: np.ndarray, back: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Natural log of P(class here | classes before it), normalised over groups and inside each."""
+        d, out = DIMENSIONS, np.empty(len(here))
+        group_bias = self.by_group[:, d] + self.log_group
+        class_bias = self.by_class[:, d] + self.log_class
+        for start in range(0, len(here), 1 << 16):
+            part = slice(start, start + (1 << 16))
+            h, k = self.hidden(back[part], far[part]), here[part]
+            own = self.member[k]
+            scores = h @ self.by_group[:, :d].T + group_bias
+            value = _normalised(scores, own)
+            order = np.argsort(own, kind="stable")
+            ends = np.searchsorted(own[order], np.arange(self.g + 1))
+            for g in range(self.g):
+                at = order[ends[g] : ends[g + 1]]
+                if len(at):
+                    inside = np.arange(g, self.k, self.g)
+                    scores = h[at] @ self.by_class[inside, :d].T + class_bias[inside]
+                    value[at] += _normalised(scores, k[at] // self.g)
+            out[part] = value
+        return out
+
+
+def _normalised(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-softmax of the chosen column of each row."""
+    top = scores.max(axis=1, keepdims=True)
+    total = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
+    return scores[np.arange(len(chosen)), chosen] - total
+
+
+class Trainer:
+    """Steps of noise-contrastive estimation from given parameters; groups and classes have their own noise."""
+
+    def __init__(self, model: Model, seed: int):
+        self.m, self.rng = model, np.random.default_rng(seed)
+        self.seen = np.full(model.rows.shape, 1e-6, dtype=np.float32)
+        self.uses = np.zeros(len(model.rows))
+        self.group_cut = np.cumsum(model.group_share)
+        # classes group by group, so that a draw inside a group is a search
+        self.order = np.argsort(model.member, kind="stable")
+        self.class_cut = np.cumsum(model.class_share[self.order])
+        self.firsts = np.searchsorted(model.member[self.order], np.arange(model.g + 1))
+
+    def _noise(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, size = self.m, (len(own), NOISE)
+        groups = np.minimum(np.searchsorted(self.group_cut, self.rng.random(size) * self.group_cut[-1], "right"), m.g - 1)
+        low = np.concatenate([[0.0], self.class_cut])[self.firsts[own]][:, None]
+        high = self.class_cut[self.firsts[own + 1] - 1][:, None]
+        at = np.searchsorted(self.class_cut, low + self.rng.random(size) * (high - low), "right")
+        at = np.minimum(at, self.firsts[own + 1][:, None] - 1)
+        return groups, self.order[at]
+
+    def _apply(self, table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
+        """One adaptive step on the rows named, whose gradients are summed first."""
+        used, place = np.unique(rows, return_inverse=True)
+        total = np.stack([np.bincount(place, weights=g, minlength=len(used)) for g in grads.T], axis=1)
+        seen[used] += total**2
+        table[used] -= RATE * total / np.sqrt(seen[used])
+
+    def step(self, here: np.ndarray, back: np.ndarray, far: np.ndarray) -> None:
+        m, d, n = self.m, DIMENSIONS, len(here)
+        c1, c2 = m.context[back, :d], m.context[far, :d]
+        hidden = np.concatenate([c1 @ m.near[:, :d] + c2 @ m.far[:, :d], np.ones((n, 1), np.float32)], axis=1)
+        own = m.member[here]
+        noise_g, noise_k = self._noise(own)
+        g_hidden = np.zeros((n, d), dtype=np.float32)
+        jobs = []
+        for table, log_share, true, noise in (
+            (m.by_group, m.log_group, own, noise_g), (m.by_class, m.log_class, here, noise_k)
+        ):
+            words = np.concatenate([true[:, None], noise], axis=1)
+            vectors = table[words]
+            # the share is part of the model's score, so it cancels against the noise's
+            error = 1 / (1 + np.exp(-(np.einsum("nd,nwd->nw", hidden, vectors) - np.log(NOISE))))
+            error[:, 0] -= 1
+            error[log_share[words] == _NEVER] = 0
+            g_hidden += np.einsum("nw,nwd->nd", error, vectors[:, :, :d])
+            jobs.append((table, words.ravel(), (error[:, :, None] * hidden[:, None, :]).reshape(-1, d + 1)))
+        at = np.cumsum([0, m.k, d, d, m.g, m.k])
+        seen = [self.seen[a:b] for a, b in zip(at[:-1], at[1:])]
+        back_c = np.concatenate([g_hidden @ m.near[:, :d].T, g_hidden @ m.far[:, :d].T])
+        for place, table, c in ((1, m.near, c1), (2, m.far, c2)):
+            grad = c.T @ g_hidden
+            seen[place][:, :d] += grad**2
+            table[:, :d] -= RATE * grad / np.sqrt(seen[place][:, :d])
+        self._apply(m.context[:, :d], seen[0][:, :d], np.concatenate([back, far]), back_c)
+        for place, (table, rows, grads) in zip((3, 4), jobs):
+            self._apply(table, seen[place], rows, grads)
+        for place, rows in ((0, back), (0, far), (3, own), (4, here)):
+            self.uses[at[place] : at[place + 1]] += np.bincount(rows, minlength=at[place + 1] - at[place])
+        self.uses[at[1] : at[3]] += n
+
+
+def train(held: DataFrame, classes: Classes, in_class: np.ndarray) -> Model:
+    """Parameters learnt from the training tokens of all blocks, in ``ROUNDS`` passes."""
+    model = Model(in_class, classes.groups)
+    slim = held.select("block", "words", "tokens", "counts", "held")
+    for turn in range(ROUNDS):
+        now = held.sparkSession.sparkContext.broadcast(model.rows)
+
+        def run(batches):
+            trainer = None
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    get = lambda c: batch.column(c)[row].as_py()  # noqa: E731,B023
+                    if trainer is None:
+                        trainer = Trainer(Model(in_class, classes.groups, now.value.copy()), get("block") * ROUNDS + turn)
+                    kinds = classes.of(get("words"))[grow(get("tokens"))]
+                    use = np.repeat(~np.array(get("held"), dtype=bool), np.array(get("counts"), dtype=np.int64))
+                    here, back, far = (x[use] for x in _context(kinds, classes.single[END]))
+                    order = trainer.rng.permutation(len(here))
+                    for at in range(0, len(order), BATCH):
+                        pick = order[at : at + BATCH]
+                        trainer.step(here[pick], back[pick], far[pick])
+            if trainer is not None:
+                used = np.flatnonzero(trainer.uses)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used), pa.array(trainer.uses[used]),
+                     pa.array(trainer.m.rows[used].astype(np.float64).tolist(), pa.list_(pa.float64()))],
+                    names=["row", "weight", "vector"],
+                )
+
+        found = slim.mapInArrow(run, "row long, weight double, vector array<double>").select(
+            "row", "weight", array_to_vector("vector").alias("vector")
+        ).groupBy("row").agg(Summarizer.mean(F.col("vector"), F.col("weight")).alias("vector"))
+        rows = model.rows.copy()
+        for r in found.collect():  # as many as there are parameters' rows
+            rows[r.row] = r.vector.toArray()
+        model = Model(in_class, classes.groups, rows)
+    return model
+
+
+def unseen(once: int, twice: int) -> float:
+    """How many words were not seen: Chao's estimate from those seen once and twice, one at least."""
+    return max(1.0, once * (once - 1) / (2 * (twice + 1)))
+
+
+def rare_counts(held: DataFrame, counts: DataFrame, top) -> DataFrame:
+    """(block, found): places and counts of a block's training words that are not among ``top``."""
+
+    def run(batches):
+        known = pa.array(top.value[0], pa.binary())
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch.column("words")[row].values
+                rare = np.flatnonzero(pc.is_null(pc.index_in(words, value_set=known)).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rare), batch.column("block")[row].as_py())), pa.array(rare), words.take(pa.array(rare))],
+                    names=["block", "at", "word"],
+                )
+
+    asked = held.select("block", "words").mapInArrow(run, "block long, at long, word binary")
+    packed = F.shiftleft("c", _AT_BITS) + F.col("at")
+    return asked.join(counts, "word").select("block", packed.alias("x")).groupBy("block").agg(
+        F.collect_list("x").alias("found")  # a block's own words at most
+    )
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -199,62 +356,50 @@ def score(docs: DataFrame) -> DataFrame:
     held = durable(blocks(docs), "lm-blocks")
     counts = durable(word_counts(held), "lm-counts")
     total = counts.agg(
-        F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")
+        F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"),
+        F.count_if(F.col("c") == 2).alias("twice"),
     ).first()
     n, v = total.n or 0, total.v
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(SINGLE - 1).collect()
-    single = {END: 0} | {bytes(r.word): k + 1 for k, r in enumerate(top)}
-    gathered = triples(held, single).toArrow()
-    model = fit(gathered.column("code").to_numpy(), gathered.column("n").to_numpy().astype(np.float64))
-    table = model.log_probabilities()
-    unknown = min(max((total.once or 0) / n, 1e-9), 0.5) if n else 1.0
-
-    # shares inside a class: all counts of its words
-    def by_class(batches):
-        sum_c = np.zeros(CLASSES, dtype=np.int64)
-        for batch in batches:
-            kinds = classes_of(batch.column("word").to_pylist(), single)
-            sum_c += np.bincount(kinds, weights=batch.column("c").to_numpy(), minlength=CLASSES).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sum_c)], names=["k", "s"])
-
-    in_class = np.ones(CLASSES)
-    for r in counts.mapInArrow(by_class, "k long, s long").groupBy("k").agg(F.sum("s").alias("s")).collect():
-        in_class[r.k] = max(r.s, 1)
-    # a class without any known word gives its part to the others
-    empty = np.array([in_class[k] <= 1 for k in range(CLASSES)])
-    table = _without(table, empty) if n else table
-
-    # the count and class of each word of a block; at most SINGLE rows are broadcast
-    own = held.sparkSession.createDataFrame([(bytearray(w), k) for w, k in single.items()], "word binary, own int")
-    last = F.crc32(F.substring("word", -2, 2)) % (CLASSES - SINGLE) + SINGLE
-    found = (
-        held.select("block", F.posexplode("words").alias("at", "word"))
-        .join(counts, "word", "left").join(F.broadcast(own), "word", "left")
-        .select("block", "at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", last).cast("int").alias("k"))
-        .groupBy("block").agg(F.collect_list(F.struct("at", "c", "k")).alias("found"))
-    )
-    joined = held.select("block", "doc_ids", "held", "counts", "tokens").join(found, "block").drop("block")
+    unknown = min(max(total.once / n, 1e-9), 0.5) if n else 1.0
+    classes = classes_for(counts, n, v)
+    in_class = class_counts(counts, classes)
+    model = train(held, classes, in_class) if n else Model(in_class, classes.groups)
+    common = counts.orderBy(F.desc("c"), "word").limit(TOP).toArrow()
+    spark = held.sparkSession.sparkContext
+    top = spark.broadcast((common.column("word").to_pylist(), common.column("c").to_numpy()))
+    fitted = spark.broadcast(model.rows)
+    groups = classes.groups
+    joined = held.join(rare_counts(held, counts, top), "block", "left").drop("block", "train")
     base_n = np.log10(float(n + v + 1))
     log_known = np.log10(1 - unknown) if unknown < 1 else 0.0
-    log_unknown = np.log10(unknown)
+    log_unknown = np.log10(unknown / unseen(total.once, total.twice))
 
     def run(batches):
-        end = single[END]
+        known_words, known_counts = pa.array(top.value[0], pa.binary()), top.value[1]
+        learnt = Model(in_class, groups, fitted.value)
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: E731,B023
                 tokens = grow(get("tokens"))
                 per_doc = np.array(get("counts"), dtype=np.int64)
-                values = batch.column("found")[row].values
-                at, n_at, k_at = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                c, kinds = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.uint8)
-                c[at], kinds[at] = n_at, k_at
-                known = c > 0
+                words = batch.column("words")[row].values
+                place = pc.index_in(words, value_set=known_words)
+                common_at = np.flatnonzero(pc.is_valid(place).to_numpy(zero_copy_only=False))
+                c = np.zeros(len(words), dtype=np.int64)
+                c[common_at] = known_counts[place.drop_null().to_numpy()]
+                if batch.column("found")[row].is_valid:
+                    packed = batch.column("found")[row].values.to_numpy()
+                    c[packed & ((1 << _AT_BITS) - 1)] = packed >> _AT_BITS
+                names = words.to_pylist()
+                kinds, known = classes.of(names), c > 0
                 base = np.log10(c + 1.0) - base_n
-                share = np.where(known, np.log10(np.maximum(c, 1) / in_class[kinds]) + log_known, log_unknown)
-                here, back, far = _context(kinds[tokens], end)
+                share = np.empty(len(c))
+                share[known] = np.log10(c[known] / in_class[kinds[known]]) + log_known
+                share[~known] = log_unknown if n else [-(len(w) + 1) * _BYTE for w in names]
+                here, back, far = _context(kinds[tokens], classes.single[END])
                 seen = known[tokens]
-                value = share[tokens] + np.where(seen, table[far, back, here], 0.0)
+                value = share[tokens]
+                value[seen] += learnt.log_probabilities(here[seen], back[seen], far[seen]) / np.log(10)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(get("doc_ids"), pa.int64()),
                     "held_out": pa.array(get("held"), pa.bool_()),
@@ -268,11 +413,3 @@ def score(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-
-
-def _without(table: np.ndarray, empty: np.ndarray) -> np.ndarray:
-    """Log-probabilities renormalised over the classes that hold words."""
-    p = 10.0**table
-    p[:, :, empty] = 0
-    p /= p.sum(axis=2, keepdims=True)
-    return np.log10(np.maximum(p, 1e-300))

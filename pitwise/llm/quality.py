@@ -166,12 +166,20 @@ def held_out(doc_id=None):
     return crc_remainder(F.col("doc_id") if doc_id is None else doc_id, HELD_OUT_OF) == HELD_OUT_AT
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+@dataclass
+class Weights:
+    """All that scoring needs of a model: one weight per bucket and the difference of the biases."""
+
+    per_bucket: np.ndarray
+    bias: float
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Weights:
     """Fit on at most ``rows`` labelled documents that are not held out.
 
     The sample is the rows with the smallest hash of doc_id among texts of up to ``SAMPLE_CHARS``
-    characters: at most ``rows`` texts come to the driver. Null labels, ids and texts are left out;
-    without any label the model gives one half.
+    characters. One task fits it; texts never come to the driver, only the weights do (1 MB at any
+    size). Null labels, ids and texts are left out; without any label the model gives one half.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~held_out())
@@ -183,13 +191,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     )
     chosen = (
         usable.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(*order, "text").limit(rows)
-        .select(F.col("text").cast("binary").alias("text"), "quality").toArrow()
+        .select(F.col("text").cast("binary").alias("text"), "quality")
     )
-    texts = chosen.column("text").combine_chunks()
-    return fit(texts, chosen.column("quality").to_numpy().astype(np.int64))
+
+    def run(batches):
+        got = pa.Table.from_batches(batches, pa.schema([("text", pa.binary()), ("quality", pa.int32())]))
+        labels_ = got.column("quality").to_numpy().astype(np.int64)
+        model = fit(pa.chunked_array(got.column("text").chunks, pa.binary()).combine_chunks(), labels_)
+        yield pa.RecordBatch.from_pydict({
+            "weights": pa.array([model.per_bucket().tobytes()], pa.binary()),
+            "bias": pa.array([float(model.bias[1] - model.bias[0])]),
+        })
+
+    fitted = chosen.coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    if fitted is None:  # no partition at all, so nothing to learn from
+        return Weights(np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
+    return Weights(np.frombuffer(fitted.weights, np.float32), fitted.bias)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) of each whole text.
 
     Null and empty texts have the score of the bias; equal texts have equal scores up to the order
@@ -199,7 +219,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     # a kept text column is read where it is; a batch does not hold it twice
     kept_text = text in columns and docs.schema[text].dataType.simpleString() in ("string", "binary")
     raw = text if kept_text else unused("raw", columns)
-    weights, bias = model.per_bucket(), float(model.bias[1] - model.bias[0])
+    weights, bias = model.per_bucket, model.bias
 
     def run(batches):
         for batch in batches:
@@ -215,14 +235,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select(*columns, *extra).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, model: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, model: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score at least ``threshold``, with their columns."""
     columns = docs.columns
     scored = score(docs.select(F.struct(*columns).alias("row"), F.col("text").alias("_text")), model, "_text")
