@@ -1,6 +1,6 @@
 """A log-bilinear language model over word classes, trained by noise-contrastive estimation.
 
-About the square root of the number of different words are classes. The commonest words, those with
+There are as many classes as the square root of the number of different words (64 at least). The commonest words, those with
 at least a class's share of all tokens, have one each; the others share classes by a hash of their
 last three bytes. Classes lie in groups, about the square root of their number. The context vector
 of a token is a sum of position matrices times vectors of the two classes before it; its products
@@ -38,6 +38,7 @@ from pitwise.llm.common import crc_remainder, pieces, sums, word_lists
 from pitwise.llm.tokenfile import grow, shrink
 from pitwise.session import durable
 
+LEAST_CLASSES = 64
 DIMENSIONS = 16
 ROUNDS = 2
 BATCH = 1024
@@ -122,8 +123,8 @@ class Classes:
 
 
 def classes_for(counts: DataFrame, n: int, v: int) -> Classes:
-    """Classes for ``v`` different words and ``n`` tokens; at most the square root of ``v`` have their own."""
-    size = max(2, round(v**0.5))
+    """Classes for ``v`` different words and ``n`` tokens: the square root of ``v``, or the least number."""
+    size = max(LEAST_CLASSES, round(v**0.5))
     own = counts.where((F.length("word") > 0) & (F.col("c") * size >= n))
     top = own.orderBy(F.desc("c"), "word").limit(size - 1).collect()
     single = {END: 0} | {bytes(r.word): k + 1 for k, r in enumerate(top)}

@@ -92,4 +92,4 @@ def test_pipeline_over_the_smallest_tables(spark):
         seen = spark.createDataFrame(after.collect(), after.schema)
     last = cp.STAGES[-1][1](spark, seen, sf_dir)
     assert last.count() == seen.count() and last.where("not decodes").count() == 0
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13
