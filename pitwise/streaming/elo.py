@@ -7,56 +7,71 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pitwise.operators.elo import DEFAULT, EloSettings, Ratings, pool_of
 from pitwise.schema import KEY
 
-_STATE = (
-    "teams array<string>, ratings array<double>, played array<int>, seasons array<string>"
-)
 _OUTPUT = (
     "match_id string, elo_home double, elo_away double, elo_expected_home double, "
-    "elo_home_played int, elo_away_played int"
+    "elo_home_played int, elo_away_played int, late boolean"
 )
+_NAMES = [part.split()[0] for part in _OUTPUT.split(", ")]
+_ORDER = ["date", "competition_id", KEY]
+
+
+class _Walk(StatefulProcessor):
+    """One country: a rating per team, and the contest the walk stands at."""
+
+    def __init__(self, settings: EloSettings):
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.teams = handle.getMapState(
+            "teams", "team string", "rating double, played int, season string"
+        )
+        self.reached = handle.getValueState(
+            "reached", "date date, competition_id string, match_id string"
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        games = pd.concat(list(rows)).sort_values(_ORDER)
+        keys = list(zip(*(games[c] for c in _ORDER)))
+        reached = tuple(self.reached.get()) if self.reached.exists() else None
+        late = pd.Series([reached is not None and k <= reached for k in keys], index=games.index)
+        refused, games = games[late], games[~late]
+        if not games.empty:
+            # Only the teams of this batch are read, and only they are written back.
+            walked = Ratings(self.settings)
+            for team in pd.unique(games[["home_team_id", "away_team_id"]].to_numpy().ravel()):
+                if self.teams.containsKey((team,)):
+                    walked.put(team, *self.teams.getValue((team,)))
+            named = games.rename(columns={"home_team_id": "home", "away_team_id": "away"})
+            columns = [games[KEY].tolist(), *walked.walk(named), [False] * len(games)]
+            for team, rating, played, season in walked.rows():
+                self.teams.updateValue((team,), (float(rating), int(played), season))
+            self.reached.update(keys[-1])
+            yield pd.DataFrame(dict(zip(_NAMES, columns, strict=True)), columns=_NAMES)
+        if not refused.empty:
+            yield pd.DataFrame({KEY: refused[KEY], "late": True}).reindex(columns=_NAMES)
+
+    def close(self) -> None:
+        pass
 
 
 def rate_stream(matches: DataFrame, settings: EloSettings = DEFAULT) -> DataFrame:
-    """Ratings of contests arriving in date order.
+    """Ratings of contests arriving in date order, ``late`` ones refused.
 
-    State per country is the current rating of each team. A micro-batch is
-    sorted within itself; dates must not go back from one to the next, as the
-    landing directory delivers them. The trigger's file limit bounds how much of
-    a country is in one task.
+    State per country is a row for each team and the last contest walked; a
+    micro-batch reads and writes the rows of its own teams. It is sorted within
+    itself, and contests up to the one reached before come out as ``late``
+    without a rating: they move nothing, so the other ratings stay those of the
+    batch walk without them. The trigger's file limit bounds how much of a
+    country is in one task.
     """
-    names = [part.split()[0] for part in _OUTPUT.split(", ")]
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        teams = Ratings(settings)
-        if state.exists:
-            for team, rating, played, season in zip(*state.get, strict=True):
-                teams.put(team, rating, played, season)
-        rows = pd.concat(list(batches)).sort_values(["date", "competition_id", KEY])
-        games = rows.rename(columns={"home_team_id": "home", "away_team_id": "away"})
-        out = dict(zip(names, [games[KEY].tolist(), *teams.walk(games)], strict=True))
-        held = list(zip(*teams.rows(), strict=True)) or [(), (), (), ()]
-        state.update(tuple(list(column) for column in held))
-        yield pd.DataFrame(out, columns=names)
-
-    columns = (
-        "date",
-        "competition_id",
-        KEY,
-        "season",
-        "home_team_id",
-        "away_team_id",
-        "home_goals",
-        "away_goals",
-    )
+    columns = (*_ORDER, "season", "home_team_id", "away_team_id", "home_goals", "away_goals")
     return (
         matches.select(pool_of(F.col("home_team_id")).alias("pool"), *columns)
         .groupBy("pool")
-        .applyInPandasWithState(step, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+        .transformWithStateInPandas(_Walk(settings), _OUTPUT, "Append", "None")
     )

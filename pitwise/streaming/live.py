@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 LOOK = (
     "seen_at timestamp, match_id string, competition_id string, home_team string, "
@@ -20,66 +20,87 @@ EVENT = (
 )
 _STATE = "home_team string, away_team string, home_goals int, away_goals int, last_ms long"
 KICK_OFF, GOAL, FULL_TIME = "kick_off", "goal", "full_time"
+_NAMES = [part.split()[0] for part in EVENT.split(", ")]
 
 
 def _number(value):
     return None if value is None or pd.isna(value) else int(value)
 
 
-def events(
-    looks: DataFrame, first_look: str | dt.datetime, gone_after: str | int = 60,
-    delay: str = "0 seconds",
-) -> DataFrame:
-    """Kick-offs, goals and full times from a stream of looks.
+class _Contest(StatefulProcessor):
+    """The last sighting of one contest, and a timer for its end."""
 
-    A contest first seen in play kicked off, a changed score is a goal, and one
-    that is missing from later looks is over. Absence is no event by itself, so
-    each contest holds a timer on event time: it fires once the watermark, which
-    only moves when looks arrive, has passed ``gone_after`` seconds beyond the
-    last sighting. A failed look therefore never ends a match. Rows of the first
-    look announce nothing.
-    """
-    silent = pd.Timestamp(first_look)
-    wait_ms = int(gone_after) * 1000
-    names = [part.split()[0] for part in EVENT.split(", ")]
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            home, away, hg, ag, last = state.get
-            state.remove()
-            seen = pd.Timestamp(last, unit="ms")
-            yield pd.DataFrame([(key[0], FULL_TIME, home, away, hg, ag, seen)], columns=names)
-            return
-        rows = pd.concat(list(batches)).sort_values("seen_at")
-        known = state.get if state.exists else None
+    def __init__(self, silent: pd.Timestamp, wait_ms: int):
+        self.silent, self.wait_ms = silent, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _STATE)
+
+    def _over(self, name: str, known: tuple) -> tuple:
+        return (name, FULL_TIME, *known[:4], pd.Timestamp(known[4], unit="ms"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # Looks at the same moment are told apart by what they saw, so order of arrival is nothing.
+        order = ["seen_at", "home_goals", "away_goals"]
+        looks = pd.concat(list(rows)).sort_values(order, kind="stable")
+        before = known = tuple(self.last.get()) if self.last.exists() else None
         out = []
-        for r in rows.itertuples(index=False):
+        for r in looks.itertuples(index=False):
             if r.status != "live":
                 continue
-            hg, ag = _number(r.home_goals), _number(r.away_goals)
-            seen = pd.Timestamp(r.seen_at)
+            hg, ag, seen = _number(r.home_goals), _number(r.away_goals), pd.Timestamp(r.seen_at)
+            at = int(seen.value // 1_000_000)
+            if known is not None and at > known[4] + self.wait_ms:
+                out.append(self._over(key[0], known))
+                known = None
             kind = None
             if known is None:
-                kind = KICK_OFF if seen > silent else None
-            elif (hg, ag) != (known[2], known[3]):
+                kind = KICK_OFF if seen > self.silent else None
+            elif (hg, ag) != (_number(known[2]), _number(known[3])):
                 kind = GOAL
             if kind:
                 out.append((key[0], kind, r.home_team, r.away_team, hg, ag, seen))
-            known = (r.home_team, r.away_team, hg, ag, int(seen.value // 1_000_000))
-        if known is not None:
-            state.update(known)
-            fire = known[4] + wait_ms
-            state.setTimeoutTimestamp(max(fire, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+            known = (r.home_team, r.away_team, hg, ag, at)
+        if known is not None and known != before:
+            if before is not None:
+                self.handle.deleteTimer(before[4] + self.wait_ms)
+            self.last.update(known)
+            self.handle.registerTimer(known[4] + self.wait_ms)
+        yield pd.DataFrame(out, columns=_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.last.exists():
+            known = tuple(self.last.get())
+            if expiredTimerInfo.getExpiryTimeInMs() == known[4] + self.wait_ms:
+                out.append(self._over(key[0], known))
+                self.last.clear()
+        yield pd.DataFrame(out, columns=_NAMES)
+
+    def close(self) -> None:
+        pass
+
 
+def events(
+    looks: DataFrame, first_look: str | dt.datetime, gone_after: str | int = 60,
+    delay: str = "0 seconds",
+) -> DataFrame:
+    """Kick-offs, goals and full times from a stream of looks.
+
+    A contest first seen in play kicked off, a changed score is a goal, and one
+    that is missing for more than ``gone_after`` seconds is over: when a later
+    look shows it again, which then kicks off anew, or else when the watermark,
+    which only moves when looks arrive, has passed that time. So a failed look
+    never ends a match, and how looks fall into micro-batches changes nothing.
+    Rows of the first look announce nothing. A contest that is over leaves no
+    state; looks behind the watermark are dropped and counted by the engine.
+    """
+    processor = _Contest(pd.Timestamp(first_look), int(gone_after) * 1000)
     return (
         looks.withWatermark("seen_at", delay)
         .groupBy("match_id")
-        .applyInPandasWithState(
-            step, EVENT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(processor, EVENT, "Append", "EventTime")
     )
 
 

@@ -21,8 +21,17 @@ def read_files(
     return reader.format(fmt).load(path)
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """An append-only Parquet sink, exactly once per row."""
+    """An append-only Parquet sink, exactly once per row.
+
+    State lives in RocksDB on the executors, so that it need not fit their heap;
+    keyed states with timers ask for it.
+    """
+    stream.sparkSession.conf.set(_PROVIDER, _ROCKS)
     return (
         stream.writeStream.format("parquet")
         .outputMode("append")
