@@ -24,6 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,13 +82,33 @@ def vocabulary(docs: DataFrame, length: int = LEAST_LENGTH, count: int = LEAST_C
     return counted.where(F.col("n") >= count)
 
 
-def _prefix_hashes(word: str, backwards: bool) -> np.ndarray:
-    """Hashes of all prefixes of a word, the whole word last; each direction has a trie of its own."""
-    codes = np.frombuffer(word.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
-    powers = np.cumprod(np.full(len(codes), _BASE, dtype=np.uint64))
-    sums = np.cumsum(codes * powers, dtype=np.uint64) + np.uint64(backwards)
-    sums ^= sums >> np.uint64(29)
-    return (sums * _BASE).view(np.int64)
+def _half(words: pa.Array, back: bool) -> pa.RecordBatch:
+    """(word, back, pos, node, next) of the latter halves of words, which are read as they are given.
+
+    A node is the hash of a prefix; each direction has a trie of its own. A word with an empty half
+    has no row.
+    """
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype="<u4")
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    pos = np.arange(len(codes)) - starts[owner] + 1
+    powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, _BASE, dtype=np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[pos - 1], dtype=np.uint64)])
+    node = sums[1:] - sums[starts][owner] + np.uint64(back)
+    node ^= node >> np.uint64(29)
+    node = (node * _BASE).view(np.int64)
+    first = (sizes + 1 - back) // 2
+    kept = np.flatnonzero((pos >= first[owner]) & (first[owner] > 0))
+    letters, at = np.unique(codes, return_inverse=True)
+    names = pa.array([chr(c) for c in letters] + [""], pa.string())
+    following = np.append(at[1:], len(letters))
+    following[pos == sizes[owner]] = len(letters)
+    return pa.RecordBatch.from_arrays(
+        [words.take(pa.array(owner[kept])), pa.array(np.full(len(kept), back)), pa.array(pos[kept].astype(np.int32)),
+         pa.array(node[kept]), names.take(pa.array(following[kept]))],
+        names=["word", "back", "pos", "node", "next"],
+    )
 
 
 def prefixes(words: DataFrame) -> DataFrame:
@@ -100,54 +121,45 @@ def prefixes(words: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "word", 1 << 20):
-                names, ways, sizes, places, nodes, letters = [], [], [], [], [], []
-                for forward in part.column("word").to_pylist():
-                    for back, word in enumerate((forward, forward[::-1])):
-                        start = (len(word) + 1 - back) // 2
-                        if not start:
-                            continue
-                        names.append(word)
-                        ways.append(bool(back))
-                        sizes.append(len(word) - start + 1)
-                        places.append(np.arange(start, len(word) + 1))
-                        nodes.append(_prefix_hashes(word, bool(back))[start - 1 :])
-                        letters.extend(word[start:])
-                        letters.append("")
-                if not names:
-                    continue
-                owner = pa.array(np.repeat(np.arange(len(names)), sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()).take(owner), pa.array(ways).take(owner),
-                     pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(nodes)),
-                     pa.array(letters, pa.string())],
-                    names=["word", "back", "pos", "node", "next"],
-                )
+                forward = part.column("word").cast(pa.string())
+                yield _half(forward, False)
+                yield _half(pc.utf8_reverse(forward), True)
 
     return words.select("word").mapInArrow(run, "word string, back boolean, pos int, node long, next string")
 
 
+def _bit(letter: Column) -> Column:
+    """One bit for a letter; a few letters may share one, so a set of bits never misses a letter."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(letter) % 63).cast("int"))
+
+
 def trie(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(own, edges) of the words' prefixes.
 
     ``own`` (word, back, pos, node, whole) are the nodes on each word's path at which words part
-    (``whole`` where one of them ends); ``edges`` (node, first, label, size, child, ends) lead from
-    each such node to the next one or to the end of a word.
+    (``whole`` where one of them ends); ``edges`` (node, first, label, size, child, ends, onward)
+    lead from each such node to the next one or to the end of a word. ``onward`` has the bits of the
+    letters that the child goes on with.
     """
-    parting = steps.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high")).where(
-        "low != high"
-    ).select("node", (F.col("low") == "").alias("whole"))
-    inner = steps.where("next != ''").join(parting, "node").select("word", "back", "pos", "node", "whole")
-    last = steps.where("next = ''").select("word", "back", "pos", "node", F.lit(True).alias("whole"))
+    parting = steps.groupBy("node").agg(
+        F.min("next").alias("low"), F.max("next").alias("high"),
+        F.bit_or(F.when(F.col("next") != "", _bit(F.col("next"))).otherwise(0)).alias("onward"),
+    ).where("low != high").select("node", (F.col("low") == "").alias("whole"), "onward")
+    inner = steps.where("next != ''").join(parting, "node").select("word", "back", "pos", "node", "whole", "onward")
+    last = steps.where("next = ''").join(parting.select("node", "onward"), "node", "left").select(
+        "word", "back", "pos", "node", F.lit(True).alias("whole"), F.coalesce("onward", F.lit(0)).alias("onward")
+    )
     # a window holds the nodes of one word
     along = Window.partitionBy("word", "back").orderBy("pos")
+    following = F.lead(F.struct("pos", "node", "whole", "onward")).over(along)
     walked = durable(
-        inner.unionByName(last).withColumn("to", F.lead(F.struct("pos", "node", "whole")).over(along)).where("to is not null"),
-        "spelling-paths",
+        inner.unionByName(last).withColumn("to", following).where("to is not null").drop("onward"), "spelling-paths"
     )
     label = F.substring("word", F.col("pos") + 1, F.col("to.pos") - F.col("pos"))
     edges = (
-        walked.groupBy("node", F.col("to.node").alias("child"), label.alias("label")).agg(F.max("to.whole").alias("ends"))
-        .select("node", F.substring("label", 1, 1).alias("first"), "label", F.length("label").alias("size"), "child", "ends")
+        walked.groupBy("node", F.col("to.node").alias("child"), label.alias("label"))
+        .agg(F.max("to.whole").alias("ends"), F.bit_or("to.onward").alias("onward"))
+        .select("node", F.substring("label", 1, 1).alias("first"), "label", F.length("label").alias("size"), "child", "ends", "onward")
     )
     return walked.drop("to"), durable(edges, "spelling-edges")
 
@@ -167,12 +179,13 @@ def frontier(own: DataFrame, edges: DataFrame) -> DataFrame:
     # a label may fit both ways, as in a run of one letter
     fits = F.filter(F.array(F.when(replaced, pos + size), F.when(dropped, pos + 1 + size)), lambda x: x.isNotNull())
     begun = here.where(replaced | dropped).select(
-        "word", "back", F.explode(fits).alias("pos"), F.col("child").alias("node"), "ends"
+        "word", "back", F.explode(fits).alias("pos"), F.col("child").alias("node"), "ends", "onward"
     )
     length = F.length("word")
     shorter = own.where((pos == length - 1) & F.col("whole")).select("word", "back", "node")  # the last letter left out
-    alive = (F.col("pos") < length) | ((F.col("pos") == length) & F.col("ends"))
-    now = durable(begun.where(alive), "spelling-states")
+    leads = F.col("onward").bitwiseAND(_bit(F.substring("word", pos + 1, F.lit(1)))) != 0
+    alive = ((pos < length) & leads) | ((pos == length) & F.col("ends"))
+    now = durable(begun.where(alive).drop("onward"), "spelling-states")
     done = shorter
     while True:
         done = done.unionByName(now.where(F.col("pos") == length).select("word", "back", "node"))
@@ -182,9 +195,9 @@ def frontier(own: DataFrame, edges: DataFrame) -> DataFrame:
         moved = (
             going.withColumn("first", F.substring("word", pos + 1, F.lit(1))).join(edges, ["node", "first"])
             .where(F.col("label") == _rest("word", pos, size))
-            .select("word", "back", (pos + size).alias("pos"), F.col("child").alias("node"), "ends")
+            .select("word", "back", (pos + size).alias("pos"), F.col("child").alias("node"), "ends", "onward")
         )
-        now = durable(moved.where(alive), "spelling-states")
+        now = durable(moved.where(alive).drop("onward"), "spelling-states")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
