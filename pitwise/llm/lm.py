@@ -41,8 +41,8 @@ from pitwise.session import durable
 LEAST_CLASSES = 64
 DIMENSIONS = 16
 ROUNDS = 2
-BATCH = 1024
-NOISE = 6
+BATCH = 4096
+NOISE = 8
 RATE = 0.1
 BLOCK_BYTES = 2 << 20
 #: Words whose counts go to all workers.
@@ -171,8 +171,9 @@ class Model:
         with np.errstate(divide="ignore", invalid="ignore"):
             self.class_share = np.where(in_class > 0, in_class / in_group[self.member], 0.0)
             self.group_share = in_group / max(in_group.sum(), 1)
-            self.log_class = np.where(self.class_share > 0, np.log(self.class_share), _NEVER)
-            self.log_group = np.where(self.group_share > 0, np.log(self.group_share), _NEVER)
+            self.log_class = np.where(self.class_share > 0, np.log(self.class_share), _NEVER).astype(np.float32)
+            self.log_group = np.where(self.group_share > 0, np.log(self.group_share), _NEVER).astype(np.float32)
+        self.class_noise, self.group_noise = self.class_share.astype(np.float32), self.group_share.astype(np.float32)
         if rows is None:
             rng = np.random.default_rng(3)
             rows = np.zeros((2 * self.k + 2 * d + groups, d + 1), dtype=np.float32)
@@ -193,20 +194,17 @@ class Model:
         d, out = DIMENSIONS, np.empty(len(here))
         group_bias = self.by_group[:, d] + self.log_group
         class_bias = self.by_class[:, d] + self.log_class
-        for start in range(0, len(here), 1 << 16):
-            part = slice(start, start + (1 << 16))
+        for start in range(0, len(here), 1 << 15):
+            part = np.arange(start, min(start + (1 << 15), len(here)))
+            part = part[np.argsort(self.member[here[part]], kind="stable")]
             h, k = self.hidden(back[part], far[part]), here[part]
             own = self.member[k]
-            scores = h @ self.by_group[:, :d].T + group_bias
-            value = _normalised(scores, own)
-            order = np.argsort(own, kind="stable")
-            ends = np.searchsorted(own[order], np.arange(self.g + 1))
-            for g in range(self.g):
-                at = order[ends[g] : ends[g + 1]]
-                if len(at):
-                    inside = np.arange(g, self.k, self.g)
-                    scores = h[at] @ self.by_class[inside, :d].T + class_bias[inside]
-                    value[at] += _normalised(scores, k[at] // self.g)
+            value = _normalised(h @ self.by_group[:, :d].T + group_bias, own)
+            ends = np.searchsorted(own, np.arange(self.g + 1))
+            for g in np.unique(own):
+                at = slice(ends[g], ends[g + 1])
+                scores = h[at] @ self.by_class[g :: self.g, :d].T + class_bias[g :: self.g]
+                value[at] += _normalised(scores, k[at] // self.g)
             out[part] = value
         return out
 
@@ -219,66 +217,66 @@ def _normalised(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Steps of noise-contrastive estimation from given parameters; groups and classes have their own noise."""
+    """Steps of noise-contrastive estimation from given parameters.
+
+    A token's group is told from noise groups and its class from noise classes of its group, which
+    come ``NOISE`` times as often and in their own shares. The noise is not drawn: its part of the
+    gradient is summed over all groups and over all classes of the group, by matrix products.
+    """
 
     def __init__(self, model: Model, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
         self.seen = np.full(model.rows.shape, 1e-6, dtype=np.float32)
         self.uses = np.zeros(len(model.rows))
-        self.group_cut = np.cumsum(model.group_share)
-        # classes group by group, so that a draw inside a group is a search
-        self.order = np.argsort(model.member, kind="stable")
-        self.class_cut = np.cumsum(model.class_share[self.order])
-        self.firsts = np.searchsorted(model.member[self.order], np.arange(model.g + 1))
-
-    def _noise(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m, size = self.m, (len(own), NOISE)
-        groups = np.minimum(np.searchsorted(self.group_cut, self.rng.random(size) * self.group_cut[-1], "right"), m.g - 1)
-        low = np.concatenate([[0.0], self.class_cut])[self.firsts[own]][:, None]
-        high = self.class_cut[self.firsts[own + 1] - 1][:, None]
-        at = np.searchsorted(self.class_cut, low + self.rng.random(size) * (high - low), "right")
-        at = np.minimum(at, self.firsts[own + 1][:, None] - 1)
-        return groups, self.order[at]
-
-    def _apply(self, table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
-        """One adaptive step on the rows named, whose gradients are summed first."""
-        used, place = np.unique(rows, return_inverse=True)
-        total = np.stack([np.bincount(place, weights=g, minlength=len(used)) for g in grads.T], axis=1)
-        seen[used] += total**2
-        table[used] -= RATE * total / np.sqrt(seen[used])
+        at = np.cumsum([0, model.k, DIMENSIONS, DIMENSIONS, model.g, model.k])
+        self.parts = list(zip(at[:-1], at[1:]))
+        self.seen_of = [self.seen[a:b] for a, b in self.parts]
+
+    @staticmethod
+    def _error(hidden: np.ndarray, vectors: np.ndarray, share: np.ndarray, true: np.ndarray) -> np.ndarray:
+        """Gradient of the loss in every score; the share is part of score and noise, so it cancels."""
+        real = 1 / (1 + NOISE * np.exp(-(hidden @ vectors.T)))  # how likely each is no noise
+        error = real * (NOISE * share)
+        rows = np.arange(len(true))
+        error[rows, true] += real[rows, true] - 1
+        return error
+
+    def _apply(self, table: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
+        seen += grad**2
+        table -= RATE * grad / np.sqrt(seen)
 
     def step(self, here: np.ndarray, back: np.ndarray, far: np.ndarray) -> None:
         m, d, n = self.m, DIMENSIONS, len(here)
-        c1, c2 = m.context[back, :d], m.context[far, :d]
-        hidden = np.concatenate([c1 @ m.near[:, :d] + c2 @ m.far[:, :d], np.ones((n, 1), np.float32)], axis=1)
+        order = np.argsort(m.member[here], kind="stable")
+        here, back, far = here[order], back[order], far[order]
         own = m.member[here]
-        noise_g, noise_k = self._noise(own)
-        g_hidden = np.zeros((n, d), dtype=np.float32)
-        jobs = []
-        for table, log_share, true, noise in (
-            (m.by_group, m.log_group, own, noise_g), (m.by_class, m.log_class, here, noise_k)
-        ):
-            words = np.concatenate([true[:, None], noise], axis=1)
-            vectors = table[words]
-            # the share is part of the model's score, so it cancels against the noise's
-            error = 1 / (1 + np.exp(-(np.einsum("nd,nwd->nw", hidden, vectors) - np.log(NOISE))))
-            error[:, 0] -= 1
-            error[log_share[words] == _NEVER] = 0
-            g_hidden += np.einsum("nw,nwd->nd", error, vectors[:, :, :d])
-            jobs.append((table, words.ravel(), (error[:, :, None] * hidden[:, None, :]).reshape(-1, d + 1)))
-        at = np.cumsum([0, m.k, d, d, m.g, m.k])
-        seen = [self.seen[a:b] for a, b in zip(at[:-1], at[1:])]
-        back_c = np.concatenate([g_hidden @ m.near[:, :d].T, g_hidden @ m.far[:, :d].T])
-        for place, table, c in ((1, m.near, c1), (2, m.far, c2)):
-            grad = c.T @ g_hidden
-            seen[place][:, :d] += grad**2
-            table[:, :d] -= RATE * grad / np.sqrt(seen[place][:, :d])
-        self._apply(m.context[:, :d], seen[0][:, :d], np.concatenate([back, far]), back_c)
-        for place, (table, rows, grads) in zip((3, 4), jobs):
-            self._apply(table, seen[place], rows, grads)
-        for place, rows in ((0, back), (0, far), (3, own), (4, here)):
-            self.uses[at[place] : at[place + 1]] += np.bincount(rows, minlength=at[place + 1] - at[place])
-        self.uses[at[1] : at[3]] += n
+        c1, c2 = m.context[back, :d], m.context[far, :d]
+        hidden = np.ones((n, d + 1), dtype=np.float32)
+        hidden[:, :d] = c1 @ m.near[:, :d] + c2 @ m.far[:, :d]
+        error = self._error(hidden, m.by_group, m.group_noise, own)
+        g_hidden = error @ m.by_group[:, :d]
+        g_group, g_class = error.T @ hidden, np.zeros_like(m.by_class)
+        ends = np.searchsorted(own, np.arange(m.g + 1))
+        for g in np.unique(own):
+            part = slice(ends[g], ends[g + 1])
+            vectors = m.by_class[g :: m.g]
+            error = self._error(hidden[part], vectors, m.class_noise[g :: m.g], here[part] // m.g)
+            g_hidden[part] += error @ vectors[:, :d]
+            g_class[g :: m.g] = error.T @ hidden[part]
+        g_context = np.zeros((m.k, d), dtype=np.float32)
+        for kinds, place in ((back, m.near), (far, m.far)):
+            change = g_hidden @ place[:, :d].T
+            for i in range(d):
+                g_context[:, i] += np.bincount(kinds, weights=change[:, i], minlength=m.k)
+        for i, grad in ((1, c1.T @ g_hidden), (2, c2.T @ g_hidden), (0, g_context)):
+            table = (m.context, m.near, m.far)[i]
+            self._apply(table[:, :d], self.seen_of[i][:, :d], grad)
+        self._apply(m.by_group, self.seen_of[3], g_group)
+        self._apply(m.by_class, self.seen_of[4], g_class)
+        for i, rows in ((0, back), (0, far), (3, own), (4, here)):
+            first, last = self.parts[i]
+            self.uses[first:last] += np.bincount(rows, minlength=last - first)
+        self.uses[self.parts[1][0] : self.parts[2][1]] += n
 
 
 def train(held: DataFrame, classes: Classes, in_class: np.ndarray) -> Model:
