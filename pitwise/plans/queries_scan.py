@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitwise.functions import text as X
-from pitwise.operators import clean, history, resolve
+from pitwise.operators import clean, history, quality, resolve
 from pitwise.operators.windows import long_form
-from pitwise.plans import reports
+from pitwise.plans import builds, reports
 from pitwise.plans.contests import WITH_CONTESTS, contests, split_upcoming, table
 from pitwise.plans.registry import query, tidy
 from pitwise.schema import (
+    FEATURE_SCHEMA,
     HISTORY_COLUMNS,
     KEY,
     MATCH_COLUMNS,
     MATCH_SCHEMA,
 )
-from pitwise.session import scratch_path
-from pitwise.sources import catalog, feed, landing, lines, manifest, predictions, registry, tables
+from pitwise.session import durable, scratch_path
+from pitwise.sources import catalog, feed, landing, lines, manifest, predictions, registry, tables, versions
 
 _ALL = ", ".join(MATCH_COLUMNS)
 
@@ -597,9 +599,18 @@ def derived_table_with_manifest(spark, sf_dir):
 )
 def prediction_log_recent(spark, sf_dir):
     """Appends in two batches; the newest forecasts come back first."""
-    m = contests(spark, sf_dir)
     path = scratch_path(spark, "log")
-    rows = m.select(
+    rows = _told(contests(spark, sf_dir))
+    cut = F.lit("1998-01-01").cast("date")
+    predictions.record(rows.filter(F.col("match_date") < cut), path)
+    predictions.record(rows.filter(F.col("match_date") >= cut), path)
+    return predictions.recent(predictions.read(spark, path), 50).select(
+        KEY, "competition_id", "match_date"
+    )
+
+
+def _told(m):
+    return m.select(
         KEY,
         "competition_id",
         "home_team",
@@ -612,14 +623,126 @@ def prediction_log_recent(spark, sf_dir):
         F.lit("1").alias("model_version"),
         F.lit(True).alias("in_sample"),
     )
-    cut = F.lit("1998-01-01").cast("date")
-    predictions.record(rows.filter(F.col("match_date") < cut), path)
-    predictions.record(rows.filter(F.col("match_date") >= cut), path)
-    return predictions.recent(predictions.read(spark, path), 50).select(
-        KEY, "competition_id", "match_date"
+
+
+@query(
+    "prediction_log_replayed",
+    f"""{WITH_CONTESTS} SELECT year(date) AS year, count(*) AS rows, count(*) AS ids
+    FROM contests GROUP BY 1""",
+)
+def prediction_log_replayed(spark, sf_dir):
+    """A stream into the log, run again from its start, and one more batch twice: told once each."""
+    m = contests(spark, sf_dir)
+    last = m.agg(F.max(F.year("date"))).first()[0]
+    rows = _told(m).withColumn("year", F.year("match_date"))
+    root, path = scratch_path(spark, "served"), scratch_path(spark, "log")
+    early = rows.filter(F.col("year") < last)
+    early.repartition("year").write.partitionBy("year").parquet(root)
+    for _ in range(2):
+        stream = spark.readStream.schema(early.schema).option("maxFilesPerTrigger", 3).parquet(root)
+        checkpoint = scratch_path(spark, "offsets")
+        predictions.record_stream(stream, path, checkpoint, "stream").awaitTermination()
+        predictions.record(rows.filter(F.col("year") == last), path, "last year")
+    return predictions.read(spark, path).groupBy(F.year("match_date").cast("long").alias("year")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids")
     )
 
 
+_LEAK_COLUMN = "home_form_points_5"
+
+
+def _leaky(matches):
+    """A feature build that tells a contest's own points."""
+    own = F.when(F.col("home_goals") > F.col("away_goals"), 3.0).when(
+        F.col("home_goals") == F.col("away_goals"), 1.0
+    ).otherwise(0.0)
+    built = builds.features(matches)
+    return built.drop(_LEAK_COLUMN).join(matches.select(KEY, own.alias(_LEAK_COLUMN)), KEY).select(*built.columns)
+
+
+@query(
+    "audited_builds",
+    f"""{WITH_CONTESTS}, built(version, state, leaks) AS (VALUES (0, 'published', FALSE), (1, 'rejected', TRUE))
+    SELECT CAST(version AS BIGINT) AS version, state, leaks, (SELECT count(*) FROM contests) AS rows,
+      CAST(0 AS BIGINT) AS current, CAST(0 AS BIGINT) AS own_points FROM built""",
+)
+def audited_builds(spark, sf_dir):
+    """Two builds of the features, the second with a planted leak: it is recorded and never seen."""
+    m = contests(spark, sf_dir)
+    source, root = scratch_path(spark, "matches"), scratch_path(spark, "features")
+    tables.write_matches(m, source, MATCH_SCHEMA)
+    for produce in (builds.features, _leaky):
+        audits = (versions.probe_audit(produce, m), lambda t: quality.check_features(t, m))
+        versions.publish(produce(m), root, FEATURE_SCHEMA, audits, (source,))
+    served = versions.current(spark, root, FEATURE_SCHEMA)
+    facts = served.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if((F.col("home_matches_played") == 0) & F.col(_LEAK_COLUMN).isNotNull()).alias("own_points"),
+    )
+    told = versions.records(spark, root)
+    newest = told.filter(F.col("state") == versions.PUBLISHED).select(F.max("version")).scalar()
+    leaks = F.exists("checks", lambda c: c["check"].isin(
+        "prefix_invariance", "outcome_independence") & (c["outcome"] == "failed"))
+    return told.select(
+        "version", "state", leaks.alias("leaks"), facts.select("rows").scalar().alias("rows"),
+        newest.alias("current"), facts.select("own_points").scalar().alias("own_points"),
+    )
+
+
+@query(
+    "version_file_states",
+    f"""{WITH_CONTESTS}, parts AS (SELECT DISTINCT country FROM contests)
+    SELECT 'input' AS role, state, CASE state WHEN 'unchanged' THEN (SELECT count(*) FROM parts) - 2
+      ELSE 1 END AS files FROM (VALUES ('unchanged'), ('changed'), ('missing'), ('new')) AS s(state)
+    UNION ALL SELECT 'output', 'unchanged', 1""",
+)
+def version_file_states(spark, sf_dir):
+    """A build's inputs, one file of which is then rewritten, one taken away and one added."""
+    m = contests(spark, sf_dir)
+    source, root = scratch_path(spark, "inputs"), scratch_path(spark, "totals")
+    countries = [r[0] for r in m.select("country").distinct().orderBy("country").collect()]
+    for country in countries:  # one file each
+        m.filter(F.col("country") == country).coalesce(1).write.parquet(f"{source}/{country}")
+    schema = T.StructType([T.StructField(KEY, T.StringType()), T.StructField("date", T.DateType())])
+    versions.publish(m.coalesce(1), root, schema, (), (source,))
+    # the same paths a day later: a copy of the folder, so that nothing is taken away from the first
+    paths = [f"{source}/{c}" for c in countries[1:]]
+    now = manifest.build(spark, paths, "*.parquet")
+    added = scratch_path(spark, "added")
+    m.limit(1).coalesce(1).write.parquet(added)
+    rewritten = F.when(F.col("path").contains(f"/{countries[1]}/"), F.lit("0" * 64)).otherwise(F.col("sha256"))
+    after = now.withColumn("sha256", rewritten).unionByName(manifest.build(spark, added, "*.parquet"))
+    inputs = versions.states_of(versions.recorded(spark, root, "input"), after, "input")
+    return inputs.unionByName(versions.states(spark, root)).groupBy("role", "state").agg(
+        F.count(F.lit(1)).alias("files")
+    )
+
+
+@query(
+    "chronology_of_files",
+    f"""{WITH_CONTESTS}, told(layout, ordered) AS (VALUES ('sorted', TRUE), ('shuffled', FALSE))
+    SELECT layout, ordered, (SELECT count(*) FROM contests) AS rows, (SELECT min(date) FROM contests) AS first_date,
+      (SELECT max(date) FROM contests) AS last_date FROM told""",
+)
+def chronology_of_files(spark, sf_dir):
+    """Spans of dates from the footers of two copies of the table: one in order, one shuffled."""
+    m = contests(spark, sf_dir)
+    ordered, shuffled = scratch_path(spark, "matches"), scratch_path(spark, "matches")
+    tables.write_matches(m, ordered, MATCH_SCHEMA)
+    m.repartition(4, KEY).write.parquet(shuffled)
+    parts = []
+    for layout, path in (("sorted", ordered), ("shuffled", shuffled)):
+        spans = durable(tables.date_spans(spark, path), "spans")
+        met = tables.overlaps(spans).select(F.count(F.lit(1))).scalar()
+        parts.append(spans.agg(
+            F.sum("rows").alias("rows"), F.min("first_date").alias("first_date"),
+            F.max("last_date").alias("last_date"),
+        ).select(F.lit(layout).alias("layout"), (met == 0).alias("ordered"), "rows", "first_date", "last_date"))
+    return parts[0].unionByName(parts[1])
+
+
+
+
 # ---- filters, sets, histories ----------------------------------------------------
 
 
