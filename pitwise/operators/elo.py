@@ -403,48 +403,114 @@ class _Grid:
     damping: float
 
 
+#: Settings that one unit walks together.
+SLICE = 30
+_GRID_OUTPUT = (
+    "kind string, pool string, slice int, season string, team string, ratings array<double>, "
+    "played int, errors array<double>, n bigint"
+)
+_GRID_NAMES = [part.split()[0] for part in _GRID_OUTPUT.split(", ")]
+
+
+def _grid_walk(slices: list[_Grid]):
+    """A partition function over rows sorted by unit and canonical order; a unit walks one slice.
+
+    Seed rows hold an array of ratings, one per setting of the slice. At the end of a unit come the
+    states of its teams and the summed squared error of every setting.
+    """
+
+    def told(pool_name, at, teams, errors, n) -> list[tuple]:
+        states = [
+            ("state", pool_name, at, season, team, np.broadcast_to(rating, len(errors)).tolist(), played, None, 0)
+            for team, rating, played, season in teams.rows()
+        ]
+        return [*states, ("error", pool_name, at, None, None, None, None, errors.tolist(), n)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, pool_name, at, teams, errors, n = None, None, None, None, None, 0
+        for batch in batches:
+            out = []
+            for name, part in by_unit(batch, "unit"):
+                if name != unit:
+                    if unit is not None:
+                        out.extend(told(pool_name, at, teams, errors, n))
+                    unit, pool_name, at = name, part["pool"].iloc[0], int(part["slice"].iloc[0])
+                    teams, errors, n = Ratings(slices[at]), np.zeros(len(slices[at].k)), 0
+                seeded = part[KEY].isna()
+                seeds = part.loc[seeded, ["home", "seed_ratings", "seed_played", "season"]]
+                for team, ratings, played, season in seeds.itertuples(index=False):
+                    teams.put(team, np.array(ratings, dtype=float), int(played), season)
+                games = part[~seeded]
+                gap = (games["home_goals"].astype(float) - games["away_goals"].astype(float)).to_numpy()
+                actual = (1 + np.nan_to_num(np.sign(gap))) / 2
+                for chance, happened in zip(teams.walk(games)[2], actual.tolist(), strict=True):
+                    errors += (chance - happened) ** 2
+                n += len(games)
+            if out:
+                yield pd.DataFrame(out, columns=_GRID_NAMES)
+        if unit is not None:
+            yield pd.DataFrame(told(pool_name, at, teams, errors, n), columns=_GRID_NAMES)
+
+    return run
+
+
+def _grid_seeds(walked: DataFrame) -> DataFrame:
+    null = F.lit(None)
+    return walked.filter(F.col("kind") == "state").select(
+        "pool", null.cast("date").alias("date"), null.cast("string").alias("competition_id"),
+        null.cast("string").alias(KEY), "season", F.col("team").alias("home"), null.cast("string").alias("away"),
+        null.cast("int").alias("home_goals"), null.cast("int").alias("away_goals"),
+        F.col("played").alias("seed_played"), F.col("ratings").alias("seed_ratings"), "slice",
+    )
+
+
 def grid_search(
     matches: DataFrame,
     k_values: Sequence[float] = K_GRID,
     home_values: Sequence[float] = HOME_GRID,
     carry_values: Sequence[float] = CARRY_GRID,
     base: EloSettings = DEFAULT,
+    max_rows_per_task: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """Mean squared error of every combination, best first.
 
-    One pass over the rows: each team carries an array of ratings, one entry
-    per combination, so the grid multiplies arithmetic and not data. Only the
-    window handed in is read.
+    Walked over the same blocks as the ratings: a task holds one slice of the settings and a block
+    of one country at most, ratings are handed from block to block as arrays, and every block is
+    written, so a lost executor costs one block. Only the window handed in is read.
     """
     combos = list(itertools.product(k_values, home_values, carry_values))
-    ks, hs, cs = (np.array(column) for column in zip(*combos, strict=True))
-    grid = _Grid(ks, hs, cs, base.initial, base.scale, base.damping)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, teams = None, Ratings(grid)
-        total, n = np.zeros(len(combos)), 0
-        for batch in batches:
-            for name, games in by_unit(batch, "pool"):
-                if name != unit:
-                    unit, teams = name, Ratings(grid)
-                expected = teams.walk(games)[2]
-                gap = (games["home_goals"].astype(float) - games["away_goals"].astype(float)).to_numpy()
-                actual = (1 + np.nan_to_num(np.sign(gap))) / 2
-                for chance, happened in zip(expected, actual.tolist(), strict=True):
-                    total += (chance - happened) ** 2
-                n += len(games)
-        yield pd.DataFrame(
-            {"k": ks, "home_advantage": hs, "season_carry": cs, "sse": total, "n": n}
+    parts = [combos[at : at + SLICE] for at in range(0, len(combos), SLICE)]
+    slices = [
+        _Grid(*(np.array(column) for column in zip(*part, strict=True)), base.initial, base.scale, base.damping)
+        for part in parts
+    ]
+    every = F.sequence(F.lit(0), F.lit(len(slices) - 1))
+    rows = _rows(matches).drop("seed_rating").withColumn("seed_ratings", F.lit(None).cast("array<double>"))
+    walked: list[DataFrame] = []
+    for start, end, oversized in plan_blocks(rows, max_rows_per_task):
+        block = rows
+        if start is not None:
+            block = block.filter(F.col("date") >= F.lit(start))
+        if end is not None:
+            block = block.filter(F.col("date") < F.lit(end))
+        block = block.withColumn("slice", F.explode(every))
+        if walked:
+            block = block.unionByName(_grid_seeds(walked[-1]))
+        block = _split_units(block) if oversized else block.withColumn("unit", F.col("pool"))
+        keyed = block.withColumn("unit", F.concat_ws("|", "unit", "slice"))
+        ordered = keyed.repartition("unit").sortWithinPartitions(
+            "unit", F.col("date").asc_nulls_first(), "competition_id", KEY
         )
-
-    ordered = _rows(matches).repartition("pool").sortWithinPartitions(
-        "pool", "date", "competition_id", KEY
-    )
-    sums = ordered.mapInPandas(
-        run, "k double, home_advantage double, season_carry double, sse double, n bigint"
+        walked.append(durable(ordered.mapInPandas(_grid_walk(slices), _GRID_OUTPUT), "elo-grid"))
+    settings = matches.sparkSession.createDataFrame(
+        [(at, i, *combo) for at, part in enumerate(parts) for i, combo in enumerate(part)],
+        "slice int, at int, k double, home_advantage double, season_carry double",
     )
+    errors = reduce(DataFrame.unionByName, walked).filter(F.col("kind") == "error")
+    each = errors.select("slice", "n", F.posexplode("errors").alias("at", "sse"))
     return (
-        sums.groupBy("k", "home_advantage", "season_carry")
+        each.join(settings, ["slice", "at"])
+        .groupBy("k", "home_advantage", "season_carry")
         .agg((F.sum("sse") / F.sum("n")).alias("mse"), F.sum("n").alias("n"))
         .orderBy("mse", "k", "home_advantage", "season_carry")
     )

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from pitwise.operators import elo
@@ -83,3 +84,14 @@ def test_grid_contains_default_error(league):
     mine = grid.filter("k = 14.0").first()["mse"]
     direct = elo.squared_error(elo.rate(early), early).first()["mse"]
     assert math.isclose(mine, direct, rel_tol=1e-9)
+
+
+def test_grid_does_not_depend_on_how_the_calendar_is_cut(league):
+    chosen = {"k_values": (10.0, 20.0), "home_values": (40.0, 80.0), "carry_values": (0.8, 1.0)}
+    whole = {tuple(r)[:3]: tuple(r)[3:] for r in elo.grid_search(league, **chosen).collect()}
+    cut = {tuple(r)[:3]: tuple(r)[3:] for r in elo.grid_search(league, **chosen, max_rows_per_task=30).collect()}
+    assert len(whole) == 8 and whole.keys() == cut.keys()
+    for key, (mse, n) in whole.items():
+        assert cut[key] == (pytest.approx(mse, abs=1e-12), n)
+        settings = elo.EloSettings(k=key[0], home_advantage=key[1], season_carry=key[2])
+        assert elo.squared_error(elo.rate(league, settings), league).first()["mse"] == pytest.approx(mse, abs=1e-12)
