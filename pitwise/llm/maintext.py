@@ -12,7 +12,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -39,14 +39,18 @@ SIBLINGS = {
 }
 FURNITURE_TAGS = frozenset("nav footer aside form button select option textarea label fieldset legend menu dialog search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-FURNITURE_WORDS = frozenset(
+#: Words in an element's id and class, by how much they speak against content.
+STRONG_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies "
-    "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin menu "
-    "nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer foot header masthead topbar "
-    "comment comments commentlist reply replies respond disqus discussion share sharing social related recommended "
-    "recommendations trending popular tags pagination pager search form copyright legal disclaimer toolbar hidden "
-    "rail skip teaser".split()
+    "consent gdpr alert popup modal overlay newsletter subscribe subscription signup login signin menu nav navbar "
+    "navigation breadcrumb breadcrumbs sidebar aside widget widgets footer foot masthead topbar share sharing "
+    "related recommended recommendations trending pagination pager copyright hidden toolbar".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+WEAK_WORDS = frozenset("notice notices header social popular tags search form legal disclaimer rail skip teaser".split())
+FURNITURE_WORDS = STRONG_WORDS | COMMENT_WORDS | WEAK_WORDS
+#: After these a word tells what a page has, before those how it is set: not what the element is.
+HAVING, SETTING = frozenset("has with without no".split()), frozenset("open closed enabled disabled on off".split())
 CONTENT_WORDS = frozenset("article content main body post entry story text prose".split())
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -56,22 +60,31 @@ LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-#: Weights of the block classifier, in log-odds.
-BIAS, ARTICLE, CONTENT_NAME, FURNITURE, FURNITURE_ABOVE = -1.5, 4.0, 1.5, -8.0, -1.0
+#: Weights of the block classifier, in log-odds. None is beyond what the edges around a block may add
+#: up to, so that neighbours can overrule any single feature.
+BIAS, ARTICLE, CONTENT_NAME, ABOVE = -1.5, 4.0, 1.5, -1.0
+TAGGED, STRONG, WEAK = -5.0, -5.0, -4.0
 PROSE_TAG, LIST_ITEM, PER_DOUBLING, MOST_DOUBLINGS, LINKS, SENTENCE = 1.0, -0.5, 0.4, 6, -4.0, 0.7
-#: Smoothness of neighbours in the same place, its reach in tree steps, and what a change of section leaves.
-SMOOTH, REACH, ACROSS = 1.2, 3.0, 0.2
+#: Smoothness of neighbours in the same place, its reach in tree steps, how many steps are told apart, and
+#: what a change of section leaves.
+SMOOTH, REACH, STEPS, ACROSS = 3.0, 3.0, 12, 0.1
+#: The part of a page's words from which on an element's name is that of the page's frame.
+MOST = 0.5
 
 
-@dataclass
 class Node:
-    tag: str
-    parent: Node | None
-    depth: int
-    furniture: bool = False
-    content: bool = False
-    article: bool = False
-    link: bool = False
+    """An element: what its tag and names say, and what is known once the page is read."""
+
+    __slots__ = ("tag", "parent", "depth", "block", "tagged", "named", "comments", "content", "article", "link",
+                 "words", "against", "above", "inside", "titled", "section")
+
+    def __init__(self, tag: str, parent: "Node | None"):
+        self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or tag in BLOCK_TAGS else parent.block
+        self.tagged = self.named = 0.0
+        self.comments = self.content = self.article = self.link = False
+        self.words = 0
 
 
 @dataclass
@@ -82,38 +95,89 @@ class Block:
     text: str = ""
 
 
+def _names(value: str) -> set[str]:
+    """The words of an id or a class that name its element."""
+    found = set()
+    for part in value.split():
+        words = [w.lower() for w in TOKEN.findall(part)]
+        for k, word in enumerate(words):
+            before, after = words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""
+            if before not in HAVING and after not in SETTING:
+                found.add(word)
+    return found
+
+
 def _describe(node: Node, raw: str) -> None:
     """What the tag and its id, class and role say about an element."""
     node.article = node.tag in ("article", "main")
-    node.furniture = node.tag in FURNITURE_TAGS
+    node.tagged = TAGGED if node.tag in FURNITURE_TAGS or node.tag == "header" else 0.0
     node.link = node.tag == "a"
-    if node.tag == "header":
-        up = node.parent
-        while up is not None and not up.article:
-            up = up.parent
-        node.furniture = up is None
     if raw and node.tag not in ("html", "body") and not raw.isspace():
         for name, a, b, c in ATTRIBUTE.findall(raw):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                found = {w.lower() for w in TOKEN.findall(value)}
-                if found & FURNITURE_WORDS:
-                    node.furniture = node.furniture or not node.article
+                found = _names(value)
+                if node.tag == "header":
+                    found -= {"header", "masthead", "banner"}
+                node.comments = node.comments or bool(found & COMMENT_WORDS)
+                if found & (STRONG_WORDS | COMMENT_WORDS):
+                    node.named = STRONG
+                elif found & WEAK_WORDS:
+                    node.named = min(node.named, WEAK)
                 elif found & CONTENT_WORDS:
                     node.content = True
             elif name == "role":
-                node.furniture = node.furniture or value.lower() in FURNITURE_ROLES
+                if value.lower() in FURNITURE_ROLES:
+                    node.tagged = TAGGED
                 node.article = node.article or value.lower() in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                node.furniture = True
+                node.tagged = TAGGED
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                node.furniture = True
+                node.tagged = TAGGED
+
+
+def _settle(nodes: list[Node], blocks: list["Block"]) -> None:
+    """What an element's place says, once all words are counted; parents come before children.
+
+    The name of an element that holds most of the page's words is that of a frame, unless it names
+    comments. An article inside comments, teasers or other furniture is one of them, and a header
+    inside an article belongs to it.
+    """
+    for block in blocks:
+        block.parent.words += len(block.text.split())
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.words += node.words
+    total = nodes[0].words
+    for node in nodes:
+        up = node.parent
+        if up is None:
+            node.against, node.above, node.inside, node.titled, node.section = 0.0, False, False, False, node
+            continue
+        named = node.named
+        if node.words >= MOST * total and not node.comments and not node.article:
+            named = 0.0
+        own = min(named, node.tagged)
+        if node.tag == "header" and up.inside:
+            own = named
+        article = node.article
+        if article and (node.comments or named or up.against):
+            article, own = False, min(own, up.against, STRONG)
+        node.titled = up.titled or node.content
+        if article:
+            # a nested article stays in the first one; furniture above the first speaks a little
+            node.inside, node.above, node.against = True, up.above or up.against < 0, 0.0
+        else:
+            node.inside, node.above, node.against = up.inside, up.above, min(up.against, own)
+        node.section = node if own < 0 or article else up.section
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order. Broken markup is read as browsers do, as far as text goes."""
-    root = Node("", None, 0)
-    stack, out = [root], []
+    root = Node("", None)
+    stack, out, nodes = [root], [], [root]
+    open_tags: Counter[str] = Counter()
+    links = 0
     current: Block | None = None
     silent: Node | None = None
 
@@ -122,19 +186,19 @@ def blocks_of(page: str) -> list[Block]:
         if silent is not None or not text:
             return
         if current is None:
-            node = stack[-1]
-            while node.parent is not None and node.tag not in BLOCK_TAGS:
-                node = node.parent
-            current = Block(node)
+            current = Block(stack[-1].block)
             out.append(current)
         current.parts.append(text)
-        if any(n.link for n in stack):
+        if links:
             current.linked += len(text.split())
 
     def pop_to(k: int) -> None:
-        nonlocal silent
-        if silent is not None and any(n is silent for n in stack[k:]):
-            silent = None
+        nonlocal silent, links
+        for node in stack[k:]:
+            open_tags[node.tag] -= 1
+            links -= node.link
+            if node is silent:
+                silent = None
         del stack[k:]
 
     at, end = 0, len(page)
@@ -159,15 +223,13 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             current = None
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    pop_to(k)
-                    break
+            if open_tags[name]:
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name))
             continue
         if name == "br":
             say("\n")
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and open_tags["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     pop_to(k)
@@ -176,7 +238,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if name in SIBLINGS:
             ends, fences = SIBLINGS[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_tags[e] for e in ends) else ():
                 if stack[k].tag in ends:
                     pop_to(k)
                     break
@@ -186,22 +248,26 @@ def blocks_of(page: str) -> list[Block]:
             pop_to(next(k for k, n in enumerate(stack) if n is silent))
         if name in VOID:
             continue
-        node = Node(name, stack[-1], len(stack))
+        node = Node(name, stack[-1])
         _describe(node, m[3])
+        nodes.append(node)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             inner = page[at : close.start()] if close else page[at:]
             at = close.start() if close else end
             if name == "textarea":
                 stack.append(node)
+                open_tags[name] += 1
                 say(entities.unescape(inner))
-                stack.pop()
+                pop_to(len(stack) - 1)
             if close:
                 gt = page.find(">", close.end())
                 at = gt + 1 if gt >= 0 else end
             continue
         if not m[3].rstrip().endswith("/") or name in BLOCK_TAGS:
             stack.append(node)
+            open_tags[name] += 1
+            links += node.link
             if name in SILENT and silent is None:
                 silent = node
     found = []
@@ -209,6 +275,7 @@ def blocks_of(page: str) -> list[Block]:
         block.text = " ".join("".join(block.parts).split())
         if block.text:
             found.append(block)
+    _settle(nodes, found)
     return found
 
 
@@ -225,38 +292,26 @@ def log_odds(block: Block) -> float:
     if block.text[-1] in ".!?…:;\"”»。！？":
         z += SENTENCE
     if block.text[0] == "©":
-        z += FURNITURE / 2
-    node, article, named, inside, above = block.parent, False, False, False, False
-    while node is not None:
-        if node.furniture:
-            if article:
-                above = True
-            else:
-                inside = True
-        article = article or node.article
-        named = named or node.content
-        node = node.parent
-    z += FURNITURE * inside + FURNITURE_ABOVE * above
-    if not inside:
-        z += ARTICLE * article + CONTENT_NAME * (named and not article)
+        z += STRONG
+    node = block.parent
+    z += node.against + ABOVE * (node.inside and node.above)
+    if not node.against:
+        z += ARTICLE * node.inside + CONTENT_NAME * (node.titled and not node.inside)
     return z
 
 
-def _section(node: Node) -> Node:
-    while node.parent is not None and not (node.furniture or node.article):
-        node = node.parent
-    return node
-
-
 def _distance(a: Node, b: Node) -> int:
-    steps = 0
-    while a is not b:
-        if a.depth >= b.depth:
-            a = a.parent
-        else:
-            b = b.parent
-        steps += 1
-    return steps
+    """Steps between two elements along the tree, ``STEPS`` at most."""
+    steps = abs(a.depth - b.depth)
+    if steps >= STEPS:
+        return STEPS
+    while a.depth > b.depth:
+        a = a.parent
+    while b.depth > a.depth:
+        b = b.parent
+    while a is not b and steps < STEPS:
+        a, b, steps = a.parent, b.parent, steps + 2
+    return min(steps, STEPS)
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -273,7 +328,7 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
         last[id(up)] = i
         for j in ties:
             weight = SMOOTH * math.exp(-_distance(blocks[j].parent, block.parent) / REACH)
-            if _section(blocks[j].parent) is not _section(block.parent):
+            if blocks[j].parent.section is not block.parent.section:
                 weight *= ACROSS
             out.append((j, i, weight))
     return out
