@@ -122,10 +122,10 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     no tokens are taken once if no budget is given, else left out. A null source is a source of
     its own, as is the empty one; null and empty texts have no tokens and follow the document they are
     next to in the permutation. Repeated rows count as rows of their own. An empty table gives
-    none. Columns named like the added ones are replaced.
+    none. Columns named like the added ones, in any case, are replaced.
     """
     added = ("mix_pass", "mix_block", "mix_key", "mix_weight", "mix_tokens")
-    columns = [c for c in docs.columns if c not in added]
+    columns = [c for c in docs.columns if c.lower() not in added]
     name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(NO_SOURCE))
     base = durable(docs.select(
         F.struct(*columns).alias("row"), name.alias("source"), token_count(F.col("text")).alias("tokens"),
@@ -140,29 +140,35 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     block = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("h")), F.col("parts"))
     last = F.col("passes")
     placed = base.join(quota, F.col("source") == F.col("q_source")).withColumn("block", block)
-    # the order of blocks in the last pass, and the tokens before each: one row per block
+    # one row per block; every pass, the last part of one too, has an order of its own
+    sizes_ = durable(placed.groupBy("source", "block").agg(
+        F.sum("tokens").alias("b_tokens"), F.max("passes").alias("passes"), F.max("rest").alias("rest")
+    ), "mix-blocks")
+    rounds = F.col("passes") + F.when(F.col("rest") > 0, 1).otherwise(0)
     totals = (
-        placed.where("rest > 0").groupBy("source", "block", "passes").agg(F.sum("tokens").alias("b_tokens"))
-        .withColumn("turn", F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("block"), F.col("passes")))
+        sizes_.where(rounds > 0)
+        .select("source", "block", "b_tokens", F.explode(F.sequence(F.lit(0).cast("long"), rounds - 1)).alias("pass"))
+        .withColumn("turn", F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("block"), F.col("pass")))
         .withColumn("lane", F.pmod("turn", F.lit(LANES)))
     )
     ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
-    lanes = totals.groupBy("source", "lane").agg(F.sum("b_tokens").alias("l_tokens"), F.count("*").alias("l_blocks"))
-    by_lane = ahead.partitionBy("source").orderBy("lane")
+    lanes = totals.groupBy("source", "pass", "lane").agg(F.sum("b_tokens").alias("l_tokens"), F.count("*").alias("l_blocks"))
+    by_lane = ahead.partitionBy("source", "pass").orderBy("lane")
     lanes = lanes.select(
-        "source", "lane", F.coalesce(F.sum("l_tokens").over(by_lane), F.lit(0)).alias("l_before"),
+        "source", "pass", "lane", F.coalesce(F.sum("l_tokens").over(by_lane), F.lit(0)).alias("l_before"),
         F.coalesce(F.sum("l_blocks").over(by_lane), F.lit(0)).alias("l_place"),
+        F.sum("l_blocks").over(Window.partitionBy("source", "pass")).alias("b_count"),
     )
-    by_turn = Window.partitionBy("source", "lane").orderBy("turn", "block")
-    heads = totals.join(lanes, ["source", "lane"]).select(
-        F.col("source").alias("b_source"), F.col("block").alias("b_block"),
+    by_turn = Window.partitionBy("source", "pass", "lane").orderBy("turn", "block")
+    # written, so that its size is known before documents meet it
+    heads = durable(totals.join(lanes, ["source", "pass", "lane"]).select(
+        F.col("source").alias("b_source"), F.col("block").alias("b_block"), F.col("pass").alias("b_pass"), "b_count",
         (F.col("l_place") + F.row_number().over(by_turn) - 1).alias("b_place"),
         (F.col("l_before") + F.sum("b_tokens").over(by_turn) - F.col("b_tokens")).alias("b_before"),
-    )
+    ), "mix-heads")
+    here = (F.col("source") == F.col("b_source")) & (F.col("block") == F.col("b_block"))
     # blocks that begin beyond the budget need no order inside
-    partial = placed.where("rest > 0").join(
-        heads, (F.col("source") == F.col("b_source")) & (F.col("block") == F.col("b_block"))
-    ).where("b_before < rest")
+    partial = placed.where("rest > 0").join(heads, here & (F.col("passes") == F.col("b_pass"))).where("b_before < rest")
     inside = Window.partitionBy("source", "block").orderBy(
         F.xxhash64(F.lit(seed + 3), F.col("h"), F.col("passes")), "h", "tie"
     ).rowsBetween(Window.unboundedPreceding, -1)
@@ -172,15 +178,14 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
         ((F.col("passes") * F.col("q_tokens") + F.col("before")) / F.greatest("budget", F.lit(1))).alias("mix_key"),
         F.col("weight").alias("mix_weight"), F.col("tokens").alias("mix_tokens"),
     )
-    # whole passes: each document once in each, at a place drawn by hash
+    # whole passes: each document once in each, in its block's place and at a point in it drawn by hash
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("mix_pass")
-    full = placed.where("passes > 0").select("row", "source", "block", "h", "q_tokens", "budget", "weight", "tokens", "parts", each)
+    full = placed.where("passes > 0").select("row", "source", "block", "h", "q_tokens", "budget", "weight", "tokens", each)
+    full = full.join(heads, here & (F.col("mix_pass") == F.col("b_pass")))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 4), F.col("h"), F.col("mix_pass")), 11)).cast("double") / float(1 << 53)
-    turn = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("block"), F.col("mix_pass")), 11)
-    place = F.pmod(turn, F.col("parts"))
     whole = full.select(
-        "row", "mix_pass", place.alias("mix_block"),
-        ((F.col("mix_pass") + (place + u) / F.col("parts")) * F.col("q_tokens") / F.greatest("budget", F.lit(1))).alias("mix_key"),
+        "row", "mix_pass", F.col("b_place").alias("mix_block"),
+        ((F.col("mix_pass") + (F.col("b_place") + u) / F.col("b_count")) * F.col("q_tokens") / F.greatest("budget", F.lit(1))).alias("mix_key"),
         F.col("weight").alias("mix_weight"), F.col("tokens").alias("mix_tokens"),
     )
     return whole.unionByName(tail).select(*[F.col("row")[c].alias(c) for c in columns], *added)
