@@ -65,7 +65,8 @@ def vocabulary(docs: DataFrame, length: int = LEAST_LENGTH, count: int = LEAST_C
                     if not text:
                         continue
                     head = zlib.crc32(f"{doc_id}:".encode())
-                    for word, n in Counter(find(text.translate(low))).items():
+                    for word, n in Counter(find(text)).items():
+                        word = word.lower() if word.isascii() else word.translate(low)
                         h = zlib.crc32(word.encode(), head)
                         if h % DAMAGE == 0:
                             at = h % len(word)
@@ -141,10 +142,11 @@ def trie(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead from each such node to the next one or to the end of a word. ``onward`` has the bits of the
     letters that the child goes on with.
     """
+    code = F.ascii("next")  # 0 at an end; numbers are aggregated without sorting
     parting = steps.groupBy("node").agg(
-        F.min("next").alias("low"), F.max("next").alias("high"),
-        F.bit_or(F.when(F.col("next") != "", _bit(F.col("next"))).otherwise(0)).alias("onward"),
-    ).where("low != high").select("node", (F.col("low") == "").alias("whole"), "onward")
+        F.min(code).alias("low"), F.max(code).alias("high"),
+        F.bit_or(F.when(code > 0, _bit(F.col("next"))).otherwise(0)).alias("onward"),
+    ).where("low != high").select("node", (F.col("low") == 0).alias("whole"), "onward")
     inner = steps.where("next != ''").join(parting, "node").select("word", "back", "pos", "node", "whole", "onward")
     last = steps.where("next = ''").join(parting.select("node", "onward"), "node", "left").select(
         "word", "back", "pos", "node", F.lit(True).alias("whole"), F.coalesce("onward", F.lit(0)).alias("onward")
@@ -177,7 +179,8 @@ def frontier(own: DataFrame, edges: DataFrame) -> DataFrame:
     replaced = F.substring("label", F.lit(2), size) == _rest("word", pos + 1, size - 1)
     dropped = F.col("label") == _rest("word", pos + 1, size)
     # a label may fit both ways, as in a run of one letter
-    fits = F.filter(F.array(F.when(replaced, pos + size), F.when(dropped, pos + 1 + size)), lambda x: x.isNotNull())
+    fits = F.when(replaced & dropped, F.array(pos + size, pos + 1 + size)).when(
+        replaced, F.array(pos + size)).otherwise(F.array(pos + 1 + size))
     begun = here.where(replaced | dropped).select(
         "word", "back", F.explode(fits).alias("pos"), F.col("child").alias("node"), "ends", "onward"
     )
