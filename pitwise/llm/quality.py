@@ -128,7 +128,9 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
         total = np.maximum(np.bincount(owner, minlength=len(chosen)), 1)
         key, n = np.unique(owner * size + flat, return_counts=True)
         used, column = np.unique(key % size, return_inverse=True)
-        batches.append((key // size, column, n / total[key // size], used, labels[chosen]))
+        # held for all epochs, so as narrow as can be: nine bytes a text's feature
+        share_ = (n / total[key // size]).astype(np.float32)
+        batches.append(((key // size).astype(np.uint8), column.astype(np.int32), share_, used.astype(np.int32), labels[chosen]))
     for epoch in range(EPOCHS):
         for b in rng.permutation(len(batches)):
             row, column, share_, used, y = batches[b]
@@ -223,7 +225,7 @@ def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, raw, 4 << 20):
+            for part in pieces(batch, raw, 2 << 20):
                 got = scores(part.column(raw), weights, bias)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(columns))), pa.array(got, pa.float64())],
