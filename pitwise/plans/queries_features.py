@@ -258,9 +258,54 @@ def elo_grid_search(spark, sf_dir):
     return tidy(elo.grid_search(folds.tuning_slice(m, folds.walk_forward(m))))
 
 
-@query("goal_model_ratings")
+#: Refit dates, which of them have enough contests and teams, and the teams each has seen.
+_FITS = f"""{WITH_CONTESTS.replace("WITH ", "WITH RECURSIVE ", 1)},
+    days AS (SELECT DISTINCT competition_id, date FROM contests),
+    refits(competition_id, r) AS (
+      SELECT competition_id, min(date) FROM contests GROUP BY 1
+      UNION ALL SELECT s.competition_id, (SELECT min(d.date) FROM days d
+        WHERE d.competition_id = s.competition_id AND d.date >= s.r + 60) FROM refits s WHERE s.r IS NOT NULL),
+    seen AS (SELECT c.competition_id, f.r, match_id, home_team_id, away_team_id FROM contests c JOIN refits f
+      ON f.competition_id = c.competition_id AND c.date < f.r AND c.date >= f.r - 1095 WHERE f.r IS NOT NULL),
+    members AS (SELECT competition_id, r, home_team_id AS team FROM seen UNION SELECT competition_id, r, away_team_id FROM seen),
+    sized AS (SELECT competition_id, r, count(*) AS matches FROM seen GROUP BY 1, 2),
+    good AS (SELECT competition_id, r, matches, count(*) AS teams FROM sized JOIN members USING (competition_id, r)
+      GROUP BY 1, 2, 3 HAVING matches >= 150 AND count(*) >= 6),
+    placed AS (SELECT match_id, home_team_id, away_team_id, c.competition_id,
+      (SELECT max(r) FROM good g WHERE g.competition_id = c.competition_id AND g.r <= c.date) AS r FROM contests c),
+    covered AS (SELECT p.match_id, h.team IS NOT NULL AND a.team IS NOT NULL AS rated FROM placed p
+      LEFT JOIN members h ON h.competition_id = p.competition_id AND h.r = p.r AND h.team = p.home_team_id
+      LEFT JOIN members a ON a.competition_id = p.competition_id AND a.r = p.r AND a.team = p.away_team_id)"""
+
+
+def _sound_goals(rated):
+    """Whether a contest has the five values, and whether they are what rates and probabilities can be."""
+    home, away, *probs = GOAL_COLUMNS
+    total = sum((F.col(p) for p in probs), F.lit(0.0))
+    sound = (F.col(home) > 0) & (F.col(away) > 0) & (F.abs(total - 1) < 1e-9) & (F.least(*probs) > 0)
+    empty = F.coalesce(*GOAL_COLUMNS).isNull()
+    return F.col(home).isNotNull().alias("rated"), F.coalesce(sound, empty).alias("sound")
+
+
+@query("goal_model_ratings", f"{_FITS} SELECT match_id, rated, TRUE AS sound FROM covered")
 def goal_model_ratings(spark, sf_dir):
-    return tidy(goals.rate(contests(spark, sf_dir)), 4)
+    """Which contests the goal model rates: those whose teams the latest good refit has seen."""
+    rated = goals.rate(contests(spark, sf_dir))
+    return rated.select(KEY, *_sound_goals(rated))
+
+
+@query(
+    "goal_model_optimum",
+    f"""{_FITS} SELECT competition_id, CAST(r - DATE '1970-01-01' AS INTEGER) AS refit, teams, matches,
+      TRUE AS optimal FROM good""",
+)
+def goal_model_optimum(spark, sf_dir):
+    """The likelihood's derivatives at the published strengths of every refit: none is left."""
+    m = contests(spark, sf_dir)
+    sums = durable(goals.window_sums(m, goals.refit_schedule(m)), "goal-sums")
+    fits = durable(goals.fit_all(sums), "goal-strengths")
+    found = goals.stationarity(sums, fits)
+    return found.select("competition_id", "refit", "teams", "matches", (F.col("residual") < 1e-6).alias("optimal"))
 
 
 @query(
@@ -291,16 +336,42 @@ def goal_model_window_sums(spark, sf_dir):
     )
 
 
-@query("ratings_table")
+@query(
+    "ratings_table",
+    f"""SELECT e.*, rated, TRUE AS sound FROM ({rating_sql.RATINGS}) AS e
+    JOIN ({_FITS} SELECT * FROM covered) AS g USING (match_id)""",
+)
 def ratings_table(spark, sf_dir):
-    return tidy(builds.ratings(contests(spark, sf_dir)), 4)
+    """Both rating models beside each other: the Elo columns, and where the goal model speaks."""
+    rated = builds.ratings(contests(spark, sf_dir))
+    return tidy(rated.select(KEY, *ELO_COLUMNS, *_sound_goals(rated)))
+
+
+_UPCOMING_SINCE = "2001-06-01"
 
 
-@query("upcoming_design_rows")
+@query(
+    "upcoming_design_rows",
+    f"""{WITH_CONTESTS},
+    sides AS (SELECT home_team_id AS team FROM contests WHERE date < DATE '{_UPCOMING_SINCE}'
+      UNION ALL SELECT away_team_id FROM contests WHERE date < DATE '{_UPCOMING_SINCE}'),
+    counted AS (SELECT team, count(*) AS n FROM sides GROUP BY 1),
+    met AS (SELECT least(home_team_id, away_team_id) AS a, greatest(home_team_id, away_team_id) AS b, date FROM contests)
+    SELECT match_id, competition_id, season, date, home_team, away_team,
+      CAST(coalesce(h.n, 0) AS INTEGER) AS elo_home_played, CAST(coalesce(a.n, 0) AS INTEGER) AS elo_away_played,
+      CAST((SELECT count(*) FROM met WHERE a = least(home_team_id, away_team_id)
+        AND b = greatest(home_team_id, away_team_id) AND met.date < c.date) AS SMALLINT) AS h2h_matches
+    FROM contests c LEFT JOIN counted h ON h.team = home_team_id LEFT JOIN counted a ON a.team = away_team_id
+    WHERE date >= DATE '{_UPCOMING_SINCE}'""",
+)
 def upcoming_design_rows(spark, sf_dir):
     """Design rows of contests that have not been played, from the whole history."""
-    played, upcoming = split_upcoming(contests(spark, sf_dir), "2001-06-01")
-    return tidy(builds.upcoming_rows(played, upcoming), 4)
+    played, upcoming = split_upcoming(contests(spark, sf_dir), _UPCOMING_SINCE)
+    rows = builds.upcoming_rows(played, upcoming)
+    return rows.select(
+        KEY, "competition_id", "season", "date", "home_team", "away_team", "elo_home_played", "elo_away_played",
+        "h2h_matches",
+    )
 
 
 # ---- probes ----------------------------------------------------------------------
