@@ -13,9 +13,9 @@ probability of one word and those of all next tokens sum to one. Where nothing i
 strings of equally likely bytes.
 
 Training runs where the tokens are. In each round every task starts from the same parameters, takes
-steps over the training tokens of all its blocks, and the parameters are averaged row by row,
-weighted by how often a task saw the row's class. So all contexts are learnt from, in tasks whose
-number grows with the corpus, and only parameters leave a task.
+steps over the training tokens of its blocks of that round, and the parameters are averaged row by
+row, weighted by how often a task saw the row's class. So all contexts are learnt from once, in tasks
+whose number grows with the corpus, and only parameters leave a task.
 
 Documents are held in blocks, each with a list of its different words. Counts of the ``TOP``
 commonest words go to all workers, a bounded list; those of rarer words come by a join on the word.
@@ -43,7 +43,7 @@ DIMENSIONS = 16
 ROUNDS = 2
 BATCH = 4096
 NOISE = 8
-RATE = 0.1
+RATE = 0.15
 BLOCK_BYTES = 2 << 20
 #: Words whose counts go to all workers.
 TOP = 1 << 17
@@ -280,9 +280,10 @@ class Trainer:
 
 
 def train(held: DataFrame, classes: Classes, in_class: np.ndarray) -> Model:
-    """Parameters learnt from the training tokens of all blocks, in ``ROUNDS`` passes."""
+    """Parameters learnt from the training tokens of all blocks, each in one of ``ROUNDS`` rounds."""
     model = Model(in_class, classes.groups)
     slim = held.select("block", "words", "tokens", "counts", "held")
+    of_round = F.pmod(F.xxhash64("block"), F.lit(ROUNDS))
     for turn in range(ROUNDS):
         now = held.sparkSession.sparkContext.broadcast(model.rows)
 
@@ -308,7 +309,7 @@ def train(held: DataFrame, classes: Classes, in_class: np.ndarray) -> Model:
                     names=["row", "weight", "vector"],
                 )
 
-        found = slim.mapInArrow(run, "row long, weight double, vector array<double>").select(
+        found = slim.where(of_round == turn).mapInArrow(run, "row long, weight double, vector array<double>").select(
             "row", "weight", array_to_vector("vector").alias("vector")
         ).groupBy("row").agg(Summarizer.mean(F.col("vector"), F.col("weight")).alias("vector"))
         rows = model.rows.copy()
