@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.functions import text as X
@@ -283,6 +283,23 @@ def thin_competitions(matches: DataFrame, minimum: int = MIN_COMPETITION) -> Dat
     )
 
 
+def overlaps(spans: DataFrame) -> DataFrame:
+    """The spans that begin before an earlier one ends, found by a sweep over their starts.
+
+    A date may end one span and begin the next: a range of dates can be cut inside a day. Inside a
+    file its parts must follow each other as they lie.
+    """
+    known = spans.filter("first_date IS NOT NULL")
+    inside = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    back = known.withColumn("reached", F.max("last_date").over(inside)).filter("first_date < reached")
+    files = known.groupBy("path").agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+    # one row per file
+    sweep = Window.orderBy("first_date", "last_date", "path").rowsBetween(Window.unboundedPreceding, -1)
+    met = files.withColumn("reached", F.max("last_date").over(sweep)).filter("first_date < reached")
+    columns = ["path", "first_date", "last_date", "reached"]
+    return back.select(*columns).unionByName(met.select(*columns))
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] = CORE_COLUMNS) -> DataFrame:
     """``(column, nulls)`` for every column, in one pass."""
     row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
@@ -323,8 +340,13 @@ def median_book(matches: DataFrame) -> float | None:
     return exact_median(matches.select(_book().alias("book")), "book")
 
 
-def check_matches(matches: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """The whole suite over the match table: one row per check."""
+def check_matches(
+    matches: DataFrame, registry: DataFrame | None = None, spans: DataFrame | None = None
+) -> DataFrame:
+    """The whole suite over the match table: one row per check.
+
+    ``spans`` are the spans of dates of the table's files, where it has been written.
+    """
     spark = matches.sparkSession
     median = median_book(matches)
     teams = matches.groupBy("home_team_id").agg(F.countDistinct("season").alias("seasons"))
@@ -405,6 +427,8 @@ def check_matches(matches: DataFrame, registry: DataFrame | None = None) -> Data
                 matches,
             ),
         ]
+    if spans is not None:
+        parts.append(_single(overlaps(spans), _n("chronological"), matches))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

