@@ -22,11 +22,11 @@ from pitwise.operators import evaluate as EV
 from pitwise.operators import folds as FD
 from pitwise.operators import models as M
 from pitwise.operators.resolve import played_first
-from pitwise.plans import builds, serving
+from pitwise.plans import builds, reports, serving
 from pitwise.plans.contests import WITH_CONTESTS, contests, split_upcoming
 from pitwise.plans.registry import query
-from pitwise.schema import BLOCKS, KEY, PROBS, TARGET
-from pitwise.session import durable
+from pitwise.schema import BLOCKS, DESIGN_COLUMNS, KEY, PROBS, TARGET
+from pitwise.session import durable, scratch_path
 
 SLACK = 0.05
 _TREES = {"random_forest": {"trees": 20}, "boosted_trees": {"rounds": 10}}
@@ -210,6 +210,63 @@ def model_block_attribution(spark, sf_dir):
     return found.select("block", "columns", F.lit(round(total, 9)).alias("shares"))
 
 
+@query(
+    "served_model_reloaded",
+    f"""{WITH_CONTESTS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different, max(date) AS trained_through
+    FROM contests""",
+)
+def served_model_reloaded(spark, sf_dir):
+    """A blend of a linear model and boosted trees, saved and loaded: the same probabilities."""
+    frame = _frame(spark, sf_dir)
+    families = [M.logistic_regression(), M.boosted_trees(rounds=3)]
+    model = serving.fit_served(frame, families, calibrated=False)
+    path = scratch_path(spark, "served")
+    model.save(spark, path)
+    again = serving.Served.load(spark, path)
+    rows = builds.served_columns(frame)
+    after = again.predict(rows).select(KEY, *[F.col(p).alias(f"b_{p}") for p in PROBS])
+    moved = ~reduce(lambda a, b: a & b, [F.abs(F.col(p) - F.col(f"b_{p}")) < 1e-12 for p in PROBS])
+    return model.predict(rows).join(after, KEY).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(moved).alias("different"),
+        F.lit(again.trained_through).alias("trained_through"),
+    )
+
+
+@query(
+    "model_card_page",
+    f"""{_FOLDS} SELECT title, (SELECT count(*) FROM evaluated) AS n
+    FROM (VALUES ('# class_prior'), ('## Scores'), ('### H'), ('### D'), ('### A'), ('## Least reliable competitions')) AS t(title)""",
+)
+def model_card_page(spark, sf_dir):
+    """The parts of a model's page and the contests behind it."""
+    m = contests(spark, sf_dir)
+    wide = EV.baselines(m, FD.walk_forward(m))
+    long = EV.to_long(wide)
+    page = reports.model_card(EV.score_table(EV.scored_terms(wide)), long, "class_prior")
+    titles = [x for x in page.split("\n") if x.startswith("#") and "Reliability" not in x]
+    n = long.filter("forecaster = 'class_prior'").count()
+    return spark.createDataFrame([(t, n) for t in titles], "title string, n long")
+
+
+@query(
+    "model_blocks_beside_ablation",
+    f"""SELECT block, CAST(n AS BIGINT) AS columns, block IN ('elo', 'form') AS withheld
+    FROM (VALUES {_BLOCK_ROWS}) AS b(block, n)""",
+)
+def model_blocks_beside_ablation(spark, sf_dir):
+    """Coefficients collapsed to blocks beside the loss of two blocks withheld on the last fold."""
+    frame = _frame(spark, sf_dir)
+    last = FD.walk_forward(frame)[-1:]
+    fitted = M.logistic_regression().fit(last[0].train(frame)).model.stages[-1]
+    weights = abs(fitted.coefficientMatrix.toArray()).sum(axis=0)
+    per_column = spark.createDataFrame(
+        [(c, float(w)) for c, w in zip(DESIGN_COLUMNS, weights)], "column string, attribution double"
+    )
+    lost = M.ablation(frame, last, M.logistic_regression, ("elo", "form"))
+    both = attribution.loss_with_block(lost, attribution.by_block(per_column))
+    return both.select("block", "columns", F.col("delta_log_loss").isNotNull().alias("withheld"))
+
+
 @query(
     "design_matrix_nulls",
     f"""{WITH_CONTESTS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS goal_model_values,

@@ -17,6 +17,7 @@ from pitwise.schema import (
     KEY,
     MATCH_COLUMNS,
     MATCH_SCHEMA,
+    RATING_SCHEMA,
 )
 from pitwise.session import durable, scratch_path
 from pitwise.sources import catalog, feed, landing, lines, manifest, predictions, registry, tables, versions
@@ -743,6 +744,72 @@ def chronology_of_files(spark, sf_dir):
 
 
 
+@query(
+    "catalog_tables",
+    f"""{WITH_CONTESTS} SELECT 'features,matches,ratings,totals' AS views, (SELECT count(*) FROM contests) AS matches,
+      (SELECT count(*) FROM contests) AS ratings, (SELECT count(*) FROM contests) AS features,
+      (SELECT count(*) FROM contests WHERE competition_id = 'LOW_1') AS asked, TRUE AS unbuilt""",
+)
+def catalog_tables(spark, sf_dir):
+    """The written tables attached together, counted and asked; a report nobody built is none."""
+    m = contests(spark, sf_dir)
+    paths = {name: scratch_path(spark, name) for name in ("matches", "ratings", "features", "totals")}
+    tables.write_matches(m, paths["matches"], MATCH_SCHEMA)
+    tables.write_derived(builds.ratings(m, models=("elo",)), paths["ratings"], RATING_SCHEMA, "ratings", (paths["matches"],))
+    tables.write_derived(builds.features(m), paths["features"], FEATURE_SCHEMA, "features", (paths["matches"],))
+    reports.totals(m).write.parquet(paths["totals"])
+    cat = catalog.Catalog(spark).open_matches(paths["matches"], paths["ratings"], paths["features"])
+    cat.attach_parquet("totals", paths["totals"])
+    asked = cat.query("SELECT count(*) AS n FROM matches WHERE competition_id = :c", {"c": "LOW_1"}).first()["n"]
+    unbuilt = catalog.read_report(spark, scratch_path(spark, "nothing")) is None
+    row = (",".join(cat.views()), cat.count(), cat.ratings().count(), cat.features().count(), asked, unbuilt)
+    return spark.createDataFrame(
+        [row], "views string, matches long, ratings long, features long, asked long, unbuilt boolean"
+    )
+
+
+@query(
+    "derived_manifest_totals",
+    f"""{WITH_CONTESTS} SELECT role, files > 0 AS files, bytes > 0 AS bytes FROM
+      (VALUES ('input', 1, 1), ('output', 1, 1)) AS v(role, files, bytes)""",
+)
+def derived_manifest_totals(spark, sf_dir):
+    """Files and bytes of a derived table and of its input, from the manifest beside it."""
+    m = contests(spark, sf_dir)
+    source, path = scratch_path(spark, "matches"), scratch_path(spark, "features")
+    tables.write_matches(m, source, MATCH_SCHEMA)
+    tables.write_derived(builds.features(m), path, FEATURE_SCHEMA, "features", (source,))
+    told = spark.read.parquet(f"{path}.manifest")
+    parts = [
+        manifest.totals(told.filter(F.col("role") == role)).select(
+            F.lit(role).alias("role"), (F.col("files") > 0).alias("files"), (F.col("bytes") > 0).alias("bytes"))
+        for role in ("input", "output")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "kickoff_labels",
+    "SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%H:%M') || ' IST' AS label FROM events",
+)
+def kickoff_labels(spark, sf_dir):
+    """Instants as the clock of a named zone, which is five and a half hours ahead all year."""
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", X.kickoff_label(F.col("ts").cast("timestamp"), "Asia/Kolkata", "IST").alias("label"))
+
+
+@query(
+    "tie_aware_best",
+    """WITH scored AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+    best AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY n DESC) AS r FROM scored)
+    SELECT user_id, min(event_type) AS event_type FROM best WHERE r = 1 GROUP BY 1 HAVING count(*) = 1""",
+)
+def tie_aware_best(spark, sf_dir):
+    """The commonest event of each user, where no other is as common."""
+    scored = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return resolve.tie_aware_top(scored, "user_id", "event_type", "n")
+
+
 # ---- filters, sets, histories ----------------------------------------------------
 
 
