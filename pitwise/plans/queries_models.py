@@ -216,9 +216,9 @@ def model_block_attribution(spark, sf_dir):
     FROM contests""",
 )
 def served_model_reloaded(spark, sf_dir):
-    """A blend of a linear model and boosted trees, saved and loaded: the same probabilities."""
+    """A blend of three kinds of model, saved and loaded: the same probabilities."""
     frame = _frame(spark, sf_dir)
-    families = [M.logistic_regression(), M.boosted_trees(rounds=3)]
+    families = [M.logistic_regression(), M.boosted_trees(rounds=3), M.mlp(rounds=2)]
     model = serving.fit_served(frame, families, calibrated=False)
     path = scratch_path(spark, "served")
     model.save(spark, path)
