@@ -41,12 +41,12 @@ from pitwise.session import durable
 LEAST_CLASSES = 64
 DIMENSIONS = 16
 ROUNDS = 2
-BATCH = 4096
+BATCH = 8192
 NOISE = 8
-RATE = 0.15
+RATE = 0.2
 BLOCK_BYTES = 2 << 20
 #: Words whose counts go to all workers.
-TOP = 1 << 17
+TOP = 1 << 18
 HELD_OUT_OF, HELD_OUT_AT = 7, 2
 END = b""
 _AT_BITS = 26  # place of a word in its block, beside its count in one number
@@ -210,10 +210,11 @@ class Model:
 
 
 def _normalised(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log-softmax of the chosen column of each row."""
-    top = scores.max(axis=1, keepdims=True)
-    total = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
-    return scores[np.arange(len(chosen)), chosen] - total
+    """Log-softmax of the chosen column of each row; ``scores`` are used up."""
+    scores -= scores.max(axis=1, keepdims=True)
+    value = scores[np.arange(len(chosen)), chosen]
+    np.exp(scores, out=scores)
+    return value - np.log(scores.sum(axis=1))
 
 
 class Trainer:
