@@ -67,18 +67,19 @@ class Family:
     columns: tuple[str, ...] = DESIGN_COLUMNS
     settings: dict = field(default_factory=dict)
 
-    def fit(self, train: DataFrame) -> "Fitted":
+    def fit(self, train: DataFrame, middle: dict[str, float | None] | None = None) -> "Fitted":
         """Fit on the rows that have an outcome.
 
-        Gaps are filled with exact medians, all found together; filling is a projection, so the
-        matrix is never materialised outside Spark ML.
+        Gaps are filled with exact medians, all found together unless ``middle`` has them; filling is
+        a projection, so the matrix is never materialised outside Spark ML.
         """
         require_columns(train, self.columns)
         rows = train.filter(F.col(TARGET).isin(*CLASSES))
         n, width = rows.count(), len(self.columns)
         if not n:
             raise ValueError("nothing to train on")
-        middle = {c: 0.0 if m is None else m for c, m in exact_quantiles(rows, self.columns).items()}
+        found = exact_quantiles(rows, self.columns) if middle is None else middle
+        middle = {c: 0.0 if found[c] is None else found[c] for c in self.columns}
         fill = ", ".join(
             f"CAST(coalesce(`{c}`, {middle[c]!r}) AS DOUBLE) AS `_x_{c}`" for c in self.columns
         )
@@ -201,11 +202,15 @@ def fold_forecasts(
     together = {
         family.name: family.fit_folds(df, folds) for family in families if hasattr(family, "fit_folds")
     }
+    alone = [family for family in families if family.name not in together]
+    columns = sorted({c for family in alone for c in family.columns})
     for fold in folds:
         train, rows = fold.train(df), fold.evaluate(df)
+        # one search for the medians that all families of a fold fill their gaps with
+        middle = exact_quantiles(train.filter(F.col(TARGET).isin(*CLASSES)), columns) if alone else {}
         for family in families:
             fits = together.get(family.name)
-            stated = (fits[fold.index] if fits else family.fit(train)).forecast(rows)
+            stated = (fits[fold.index] if fits else family.fit(train, middle)).forecast(rows)
             parts.append(
                 stated.select(
                     F.lit(fold.index).alias("fold"),
