@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand texts to Python workers in batches of at most ``rows``: both sides hold a batch whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores before it until no column has it, whatever the case."""
     taken = {c.lower() for c in columns}
