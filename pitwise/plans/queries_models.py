@@ -5,8 +5,8 @@ with SQL is what must hold of them: every contest of every fold is priced, proba
 and no forecaster is worse than the base rates by more than ``SLACK``. The outcomes of the given
 tables are drawn from amounts that no feature knows, so none can be better by much either.
 
-Settings are the shipped ones but for the numbers of trees and rounds, which take minutes a fold;
-README has the times of the full numbers.
+Settings are the shipped ones but for the numbers of trees and rounds; README says what the full
+numbers would take.
 """
 
 from __future__ import annotations
