@@ -105,6 +105,11 @@ def _fields(record: Column) -> Column:
     return F.transform(fields, lambda x: F.btrim(x, F.lit(_WHITE)))
 
 
+def _once(value: Column) -> Column:
+    """``value``, worked out once a row: a filter on it stays above, and does not work it out again."""
+    return F.explode(F.array(value))
+
+
 def _text(spark: SparkSession, root, names: str) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names)
     return reader.text(root)
@@ -282,20 +287,19 @@ def scan_files(spark: SparkSession, root, names: str = "*.csv") -> tuple[DataFra
     # header that comes again further down is a row like any other.
     data = lines.join(headers, "path").filter(F.col("position") != F.col("first"))
     decoded = F.when(F.col("utf8"), F.col("value")).otherwise(_fallback(F.col("value")))
-    data = data.select("path", "width", "columns", _fields(decoded).alias("cells"))
+    data = data.select("path", "width", "columns", _once(_fields(decoded)).alias("cells"))
     data = data.filter(F.exists("cells", lambda c: c != ""))
     have = F.size("cells")
     last_named = F.array_max(F.transform("columns", lambda c: c["at"]))
+    named = F.map_from_entries(
+        F.transform(
+            "columns",
+            lambda c: F.struct(c["name"], F.coalesce(F.get(F.col("cells"), c["at"]), F.lit(""))),
+        )
+    )
     rows = data.select(
         "path",
-        F.map_from_entries(
-            F.transform(
-                "columns",
-                lambda c: F.struct(
-                    c["name"], F.coalesce(F.get(F.col("cells"), c["at"]), F.lit(""))
-                ),
-            )
-        ).alias("fields"),
+        _once(named).alias("fields"),
         (have < F.col("width")).alias("padded"),
         (have <= last_named).alias("short"),
         (have > F.col("width")).alias("truncated"),

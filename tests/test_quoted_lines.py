@@ -86,3 +86,14 @@ def test_an_endless_quote_refuses_its_file_alone(spark, tmp_path, monkeypatch):
     assert why == {"bad.csv": lines.OPEN_QUOTE, "head.csv": lines.OPEN_QUOTE}
     got = sorted(dict(r["fields"])["B"] for r in rows.collect())
     assert got == ["left openhere", "xy"]
+
+
+def test_fields_are_worked_out_once_under_filters(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text('Div,Name\nE0," x, y "\nE1,z\n,w\n')
+    _, rows = lines.scan_files(spark, str(tmp_path))
+    kept = rows.filter(lines.field("Div").isin("", "E0") & (lines.field("Name") != "q"))
+    assert sorted(r["fields"]["Name"] for r in kept.collect()) == ["w", "x, y"]
+    capsys.readouterr()
+    kept.explain(extended=True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("map_from_entries(") == 1
