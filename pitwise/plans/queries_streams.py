@@ -13,7 +13,7 @@ from pitwise.plans import rating_sql
 from pitwise.plans.contests import WITH_CONTESTS, contests, table
 from pitwise.plans.registry import query, tidy
 from pitwise.schema import KEY
-from pitwise.session import scratch_path
+from pitwise.session import durable, scratch_path
 from pitwise.streaming import elo as stream_elo
 from pitwise.streaming import live, log
 
@@ -26,11 +26,11 @@ def _run(spark, stream, schema):
 
 def _land(df, by):
     """Write ``df`` as one file per value of ``by``, in that order of arrival."""
-    spark = df.sparkSession
-    root = scratch_path(spark, "arrivals")
+    root = scratch_path(df.sparkSession, "arrivals")
+    df = durable(df, "arriving")
     steps = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
     for step in steps:  # a few periods; each is one append
-        df.filter(F.col(by) == step).drop(by).coalesce(1).write.mode("append").parquet(root)
+        df.filter(F.col(by) == step).drop(by).repartition(1).write.mode("append").parquet(root)
     return root  # one file each, as a file is what a trigger takes
 
 
