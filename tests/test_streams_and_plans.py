@@ -181,3 +181,18 @@ def test_class_missing_from_training_gets_zero(frame):
     fitted = models.random_forest(("elo_home",), trees=3, depth=3, leaf=5).fit(
         frame.filter("result <> 'A'"))
     assert fitted.forecast(frame).filter("prob_away <> 0").count() == 0
+
+
+def test_temperatures_are_tried_by_compiled_code(spark, monkeypatch):
+    """One loss a row and temperature, none of them in a function over arrays; with and without groups."""
+    seen, wrapped = [], calibrate.S.log_loss
+    monkeypatch.setattr(calibrate.S, "log_loss", lambda *a: seen.append(1) or wrapped(*a))
+    monkeypatch.setattr(calibrate.F, "transform", lambda *a: pytest.fail("interpreted"))
+    df = spark.range(800).select(
+        F.lit("f").alias("forecaster"), F.lit(0.6).alias("prob_home"), F.lit(0.3).alias("prob_draw"),
+        F.lit(0.1).alias("prob_away"), F.when(F.col("id") % 2 == 0, "H").otherwise("D").alias("result"),
+    )
+    grouped = calibrate.fit_temperatures(df, ["forecaster"]).first()
+    alone = calibrate.fit_temperatures(df).first()
+    assert grouped["temperature"] == alone["temperature"] and alone["n"] == 800
+    assert len(seen) == 12  # one for each round
