@@ -17,6 +17,15 @@ def test_queries_fit_the_shipped_settings(name):
     assert QM._family(name).settings == M.FAMILIES[name]().settings
 
 
+def test_search_never_lowers_trees_or_rounds():
+    for family, settings in QM._SETTINGS.items():
+        shipped = M.FAMILIES[family]().settings
+        assert settings[0] == {}
+        for one in settings:
+            made = M.FAMILIES[family](**one).settings
+            assert all(made.get(n) == shipped.get(n) for n in ("trees", "rounds", "max_iter"))
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(9)
