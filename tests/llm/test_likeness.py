@@ -74,3 +74,49 @@ def test_parities_never_rule_out_sets_that_are_alike():
         assert passed or shared / (len(one) + len(other) - shared) < 0.8
         ruled += not passed
     assert ruled > 100
+
+
+def test_as_many_parities_as_shingles_rule_out_long_texts_that_eight_longs_let_pass(spark):
+    rng = np.random.default_rng(7)
+    made = lambda n: np.unique(rng.integers(-(2**62), 2**62, n))
+    row = lambda s: likeness.parities(s, likeness.longs_for(len(s))).tobytes()
+    few = ruled = 0
+    for _ in range(200):
+        n = int(rng.integers(1, 6000))
+        one = made(n)
+        kept = one[rng.random(len(one)) < rng.choice([0.3, 0.6, 0.85, 0.95, 1.0])]
+        other = np.unique(np.concatenate([kept, made(int(rng.integers(0, n // 8 + 1)))]))
+        shared, both = len(np.intersect1d(one, other)), len(one) + len(other)
+        bits = likeness.unlike(row(one), row(other))
+        assert bits == likeness.unlike(row(other), row(one)) <= both - 2 * shared
+        passed = 9 * bits <= both
+        assert passed or 5 * shared < 4 * (both - shared)
+        if shared / (both - shared) < 0.6 and n > 2000:
+            few, ruled = few + 1, ruled + (not passed)
+    assert few > 10 and ruled == few
+    assert [likeness.longs_for(n) for n in (0, 1, 512, 513, 1024, 1025)] == [8, 8, 8, 16, 16, 32]
+    words = [f"w{x}" for x in rng.integers(0, 9000, 4000)]
+    half = words[:2400] + [f"v{x}" for x in rng.integers(0, 9000, 1600)]
+    near = [*words[:-100], *["x"] * 100]
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, (words, half, near)))), "doc_id long, text string")
+    rows = docs.selectExpr("doc_id AS node", "doc_id AS at", "struct(text) AS row")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    sets = rows.select("node", "row.text").collect()
+    held = [(r.node, len(likeness.shingle_set(r.text.encode())), row(likeness.shingle_set(r.text.encode()))) for r in sets]
+    left = likeness.fine_enough(pairs, spark.createDataFrame(held, "node long, size long, par binary"))
+    assert [(r.a, r.b) for r in left.collect()] == [(0, 2)]
+    found = likeness.verified(pairs, rows.select("node", "at"), rows)
+    assert [(r.a, r.b) for r in found.collect()] == [(0, 2)]
+
+
+def test_common_shingles_are_the_most_common_that_are_held(spark, monkeypatch):
+    line = " ".join(f"line{i}" for i in range(5))
+    often = " ".join(f"often{i}" for i in range(5))
+    texts = [f"{line} {often}" if i % 2 else f"{line} u{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known, counts = likeness.common_shingles(docs)
+    assert likeness.shingle_set(line.encode())[0] in known and np.all(np.diff(known) > 0)
+    monkeypatch.setattr(likeness, "MOST_COMMON", 1)
+    monkeypatch.setattr(likeness, "COMMON", 2)
+    few, n = likeness.common_shingles(docs)
+    assert few.tolist() == likeness.shingle_set(line.encode()).tolist() and n.tolist() == [21]
